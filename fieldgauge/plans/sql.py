@@ -147,7 +147,7 @@ SELECT 'o' || l_orderkey AS document_id, l_linenumber AS pos, CAST(l_linenumber*
 CTES["docs"] = ((), """
 SELECT 'd' || doc_id AS document_id, doc_id AS n, text, sha256(text) AS sha256,
  'doc ' || doc_id || CASE WHEN doc_id%5 = 0 THEN '#' ELSE '' END || '.' || CASE doc_id%4 WHEN 0 THEN 'txt' WHEN 1 THEN 'html' WHEN 2 THEN 'pdf' ELSE 'bin' END AS filename,
- source AS dataset_id, lang, [lang, 'p' || (doc_id%3)] AS tags, source || '/' || lang || '/' AS folder, 'fam' || (doc_id%97) AS family, doc_id AS created_at
+ source AS dataset_id, lang, [lang, 'p' || (doc_id%3)] AS tags, source || '/' || lang || '/' AS folder, CASE WHEN doc_id%3 = 0 THEN 'solo' || doc_id ELSE 'fam' || (doc_id%97) END AS family, doc_id AS created_at
 FROM documents""")
 CTES["members"] = (("docs",), "SELECT * EXCLUDE (text) FROM docs d WHERE n = (SELECT min(n) FROM docs e WHERE e.sha256 = d.sha256)")
 CTES["blocks"] = ((), """

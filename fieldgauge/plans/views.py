@@ -148,7 +148,7 @@ class Views:
             F.concat(F.lit("doc "), d.cast("string"), F.when(d % 5 == 0, "#").otherwise(""), F.lit("."), ext).alias("filename"),
             F.col("source").alias("dataset_id"), "lang", F.array("lang", F.concat(F.lit("p"), (d % 3).cast("string"))).alias("tags"),
             F.concat("source", F.lit("/"), F.col("lang"), F.lit("/")).alias("folder"),
-            F.concat(F.lit("fam"), (d % 97).cast("string")).alias("family"), d.alias("created_at"))
+            F.when(d % 3 == 0, F.concat(F.lit("solo"), d.cast("string"))).otherwise(F.concat(F.lit("fam"), (d % 97).cast("string"))).alias("family"), d.alias("created_at"))
 
     @cached_property
     def members(self) -> DataFrame:
