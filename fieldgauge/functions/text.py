@@ -87,7 +87,7 @@ def clean_tags_cli(tags: Column, max_len: int = 80, max_tags: int = 50) -> Colum
 
 def clean_tags_api(tags: Column) -> Column:
     """Trimmed, sorted set of non-empty tags."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(tags, F.trim), lambda t: t != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda t: F.trim(t)), lambda t: t != "")))
 
 
 def folder_path(x: Column) -> Column:
@@ -147,10 +147,10 @@ def unicode_form(form: str):
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def normalize(s: pd.Series) -> pd.Series:
+    def normalize(s):
         return s.str.normalize(form)
-    return normalize
+    normalize.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return pandas_udf(normalize, "string")
 
 
 def title_key(x: Column, nfc=None) -> Column:

@@ -39,8 +39,8 @@ def parts(v):
     k = F.col("o_orderkey")
     net, tax = k % 90, F.col("o_custkey") % 30
     gross = (net + tax).cast("decimal(12,2)") + F.when(k % 5 == 0, 1).when(k % 5 == 1, 0.01).otherwise(0).cast("decimal(12,2)")
-    cells = F.array(F.struct(F.lit("net").alias("field_path"), net.cast("string").alias("value_json")), F.struct(F.lit("tax"), F.when(k % 7 != 0, tax.cast("string"))),
-                    F.struct(F.lit("gross"), F.concat(F.lit('"'), gross.cast("string"), F.lit('"'))))
+    cells = F.array(F.struct(F.lit("net").alias("field_path"), net.cast("string").alias("value_json")), F.struct(F.lit("tax").alias("field_path"), F.when(k % 7 != 0, tax.cast("string")).alias("value_json")),
+                    F.struct(F.lit("gross").alias("field_path"), F.concat(F.lit('"'), gross.cast("string"), F.lit('"')).alias("value_json")))
     return v.table("orders").select(F.concat(F.lit("o"), k.cast("string")).alias("document_id"), F.explode(cells).alias("c")).select("document_id", "c.*")
 
 
