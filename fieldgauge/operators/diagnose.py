@@ -116,14 +116,24 @@ def contamination_shingles(texts: DataFrame, sources: DataFrame, answers: DataFr
 
 
 def long_answers(texts: DataFrame, answers: DataFrame, id_column: str, least: int = 12) -> DataFrame:
-    """Texts containing an expected answer of at least 12 characters, found by equi-join on its leading characters."""
-    wanted = answers.where(F.length("answer") >= least).select("answer").distinct().withColumn("head", F.substring("answer", 1, least))
-    n = F.length("text")
-    heads = (texts.where(n >= least).select(id_column, F.explode(F.sequence(F.lit(1), n - least + 1)).alias("p"), "text"))
-    longest = wanted.agg(F.max(F.length("answer")).alias("longest"))
-    cut = heads.crossJoin(F.broadcast(longest)).select(id_column, F.substring("text", F.col("p"), F.lit(least)).alias("head"), F.substring("text", F.col("p"), F.col("longest")).alias("tail"))
-    t, a = cut.alias("t"), wanted.alias("a")
-    hit = t.join(a, (F.col("t.head") == F.col("a.head")) & F.startswith(F.col("t.tail"), F.col("a.answer")), "left_semi")
+    """Texts containing an expected answer of at least 12 characters; exact over whole texts.
+
+    Any 12 characters contain a whole 6-character block at a multiple of 7, so a text lists every 7th block and an
+    answer the pieces of its first 12 characters. Texts whose head matches are then checked against the answers
+    that share the head, held as one array per head.
+    """
+    block, hop, n = least // 2, least // 2 + 1, F.length("text")
+    heads = (answers.where(F.length("answer") >= least).groupBy(F.substring("answer", 1, least).alias("head"))
+             .agg(F.collect_set("answer").alias("answers")))
+    pieces = heads.select("head", F.explode(F.sequence(F.lit(0), F.lit(hop - 1))).alias("j")).select(
+        "head", "j", F.substring("head", F.col("j") + 1, F.lit(block)).alias("piece"))
+    cut = (texts.where(n >= least).select(id_column, F.explode(F.sequence(F.lit(0), n - block, F.lit(hop))).alias("p"), "text")
+           .select(id_column, F.substring("text", F.col("p") + 1, F.lit(block)).alias("piece"), F.least(F.col("p"), F.lit(hop - 1)).alias("lead"),
+                   F.substring("text", F.greatest(F.col("p") - (hop - 1), F.lit(0)) + 1, F.lit(2 * least)).alias("around")))
+    seen = (cut.join(pieces, "piece").where((F.col("j") <= F.col("lead")) & (F.substring("around", F.col("lead") - F.col("j") + 1, F.lit(least)) == F.col("head")))
+            .select(id_column, "head").distinct())
+    hit = (seen.join(heads, "head").join(texts.select(id_column, "text"), id_column)
+           .where(F.exists("answers", lambda a: F.contains(F.col("text"), a))))
     return hit.select(id_column).distinct().withColumn("kind", F.lit("expected_answer"))
 
 

@@ -51,8 +51,8 @@ def requests(v):
     return found.unionByName(lost)
 
 
-CTES["ctx_hits"] = (("needles", "page_text"), """SELECT document_id, field_path, page, substr(text, greatest(at - 300, 1), CAST(at - 1 + least(length(needle), 1200) + 400 - greatest(at - 300, 1) + 1 AS INTEGER)) AS text FROM (
- SELECT n.*, p.page, p.text, strpos(lower(p.text), lower(n.needle)) AS at, row_number() OVER (PARTITION BY n.document_id ORDER BY needle_rank, page) AS rn FROM needles n JOIN page_text p USING (document_id)
+CTES["ctx_hits"] = (("needles", "page_text"), """SELECT document_id, field_path, page, substr(text, greatest(hit_at - 300, 1), CAST(hit_at - 1 + least(length(needle), 1200) + 400 - greatest(hit_at - 300, 1) + 1 AS INTEGER)) AS text FROM (
+ SELECT n.*, p.page, p.text, strpos(lower(p.text), lower(n.needle)) AS hit_at, row_number() OVER (PARTITION BY n.document_id ORDER BY needle_rank, page) AS rn FROM needles n JOIN page_text p USING (document_id)
  WHERE needle <> '' AND strpos(lower(p.text), lower(n.needle)) > 0) WHERE rn = 1""")
 CTES["ctx_windows"] = (("page_text",), """SELECT document_id, page, text FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, page, start) AS rn FROM (
  SELECT document_id, page, start, w AS text, (length(lw) - length(replace(lw, 'terms', '')))//5 + (length(lw) - length(replace(lw, 'notice', '')))//6 + (length(lw) - length(replace(lw, 'period', '')))//6 AS score FROM (
