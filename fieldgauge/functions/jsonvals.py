@@ -198,13 +198,20 @@ def typed_equal(a: Column, b: Column, tolerance: Column) -> Column:
 
 def table_signature(v: Column, row_key: Column) -> Column:
     """Order-free form of a table: rows sorted by key; null when a key is absent or repeated."""
-    rows = elements(v)
-    keyed = F.transform(rows, lambda r: F.struct(
-        text(F.get(F.transform(F.filter(members(r), lambda m: m["key"] == row_key), lambda m: m["value"]), F.lit(0))).alias("key"),
-        r.alias("row")))
-    keys = F.transform(keyed, lambda e: e["key"])
-    usable = row_key.isNotNull() & ~F.exists(keyed, lambda e: e["key"].isNull()) & (F.size(F.array_distinct(keys)) == F.size(keys))
-    return F.when(usable, F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(keyed), lambda e: e["row"]), ","), F.lit("]")))
+    def row(r):
+        cell = try_member_text(r, row_key)
+        return F.struct(cell.alias("key"), r.alias("row"))
+
+    def sorted_rows(keyed):
+        keys = F.transform(keyed, lambda e: e["key"])
+        usable = ~F.exists(keys, lambda k: k.isNull()) & (F.size(F.array_distinct(keys)) == F.size(keys))
+        return F.when(usable, F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(keyed), lambda e: e["row"]), ","), F.lit("]")))
+    return F.when(row_key.isNotNull(), let(F.transform(elements(v), row), sorted_rows))
+
+
+def try_member_text(v: Column, key: Column) -> Column:
+    """Text of one member of an object; null when absent or null."""
+    return F.get(F.transform(F.filter(members(v), lambda m: m["key"] == key), lambda m: text(m["value"])), F.lit(0))
 
 
 def value_needle(v: Column) -> Column:

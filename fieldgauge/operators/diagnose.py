@@ -87,6 +87,24 @@ def keyword_windows(requests: DataFrame, pages: DataFrame, size: int = 1600, ste
     return best.select("document_id", "field_path", F.col("_b.page").alias("page"), F.col("_b.text").alias("text"))
 
 
+def aligned_blocks(texts: DataFrame, id_column: str, block: int, hop: int, reach: int) -> DataFrame:
+    """Every ``hop``-th block of each text: (id, piece, lead, around); ``around`` starts ``lead`` characters before it.
+
+    Texts are first cut into short chunks with their neighbours' edges, since taking a substring of a long text
+    walks it from the start.
+    """
+    size = hop * max(1, 1024 // hop)
+    chunks = texts.select(id_column, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("c"))
+    edges = F.transform("c", lambda x, i: F.struct(
+        F.coalesce(F.right(F.get("c", i - 1), F.lit(hop - 1)), F.lit("")).alias("pre"),
+        F.concat(x, F.coalesce(F.left(F.get("c", i + 1), F.lit(reach)), F.lit(""))).alias("body"), F.length(x).alias("n")))
+    local = chunks.select(id_column, F.explode(edges).alias("e")).select(id_column, "e.*")
+    at = local.select(id_column, F.length("pre").alias("k"), F.concat("pre", "body").alias("all"), F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(hop))).alias("p"))
+    lead = F.least(F.col("k") + F.col("p"), F.lit(hop - 1))
+    return at.select(id_column, F.substring("all", F.col("k") + F.col("p") + 1, F.lit(block)).alias("piece"), lead.alias("lead"),
+                     F.substring("all", F.col("k") + F.col("p") - lead + 1, F.lit(hop - 1 + reach)).alias("around")).where(F.length("piece") == block)
+
+
 def contamination_shingles(texts: DataFrame, sources: DataFrame, answers: DataFrame | None = None, id_column: str = "document_id",
                            length: int = 100, stride: int = 40) -> DataFrame:
     """(id, kind): texts that copy a source shingle or a long expected answer; exact over whole texts.
@@ -102,10 +120,7 @@ def contamination_shingles(texts: DataFrame, sources: DataFrame, answers: DataFr
                 .select(F.substring("text", F.col("o") + 1, F.lit(length)).alias("shingle")).distinct())
     pieces = shingles.select("shingle", F.explode(F.sequence(F.lit(0), F.lit(hop - 1))).alias("j")).select(
         F.substring("shingle", F.col("j") + 1, F.lit(block)).alias("piece"), "j", "shingle")
-    cut = (texts.where(n >= length).select(id_column, F.explode(F.sequence(F.lit(0), n - block, F.lit(hop))).alias("p"), "text")
-           .select(id_column, F.substring("text", F.col("p") + 1, F.lit(block)).alias("piece"),
-                   F.least(F.col("p"), F.lit(hop - 1)).alias("lead"),
-                   F.substring("text", F.greatest(F.col("p") - (hop - 1), F.lit(0)) + 1, F.lit(2 * hop + block)).alias("around")))
+    cut = aligned_blocks(texts.where(n >= length), id_column, block, hop, length)
     t, s = cut.alias("t"), pieces.alias("s")
     exact = (F.col("t.piece") == F.col("s.piece")) & (F.col("s.j") <= F.col("t.lead")) & (
         F.substring("t.around", F.col("t.lead") - F.col("s.j") + 1, F.lit(length)) == F.col("s.shingle"))
@@ -127,9 +142,7 @@ def long_answers(texts: DataFrame, answers: DataFrame, id_column: str, least: in
              .agg(F.collect_set("answer").alias("answers")))
     pieces = heads.select("head", F.explode(F.sequence(F.lit(0), F.lit(hop - 1))).alias("j")).select(
         "head", "j", F.substring("head", F.col("j") + 1, F.lit(block)).alias("piece"))
-    cut = (texts.where(n >= least).select(id_column, F.explode(F.sequence(F.lit(0), n - block, F.lit(hop))).alias("p"), "text")
-           .select(id_column, F.substring("text", F.col("p") + 1, F.lit(block)).alias("piece"), F.least(F.col("p"), F.lit(hop - 1)).alias("lead"),
-                   F.substring("text", F.greatest(F.col("p") - (hop - 1), F.lit(0)) + 1, F.lit(2 * least)).alias("around")))
+    cut = aligned_blocks(texts.where(n >= least), id_column, block, hop, least)
     seen = (cut.join(pieces, "piece").where((F.col("j") <= F.col("lead")) & (F.substring("around", F.col("lead") - F.col("j") + 1, F.lit(least)) == F.col("head")))
             .select(id_column, "head").distinct())
     hit = (seen.join(heads, "head").join(texts.select(id_column, "text"), id_column)

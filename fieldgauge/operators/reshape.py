@@ -34,7 +34,7 @@ def flatten_values(df: DataFrame, keys: list[str], value: str, max_depth: int =
 
 def flatten_predictions(df: DataFrame, keys: list[str], value: str, max_depth: int = 4) -> DataFrame:
     """Like flatten_values but an object holding a ``value`` member is one field; adds its unwrapped columns."""
-    wrapped = J.member(F.col("v"), "value").isNotNull()
+    wrapped = F.contains("v", F.lit('"value"')) & J.member(F.col("v"), "value").isNotNull()
     flat = _descend(df, keys, value, wrapped, max_depth)
     return unwrap_fields(flat.select(*keys, "field_path", F.col("v").alias("raw_json")), "raw_json")
 
@@ -42,14 +42,15 @@ def flatten_predictions(df: DataFrame, keys: list[str], value: str, max_depth: i
 def unwrap_fields(df: DataFrame, raw: str) -> DataFrame:
     """Split ``{value, confidence, evidence, errors}`` (or a bare value) into columns."""
     r = F.col(raw)
-    inner = J.member(r, "value")
-    number = J.number(J.member(r, "confidence")).cast("double")
-    none = F.array().cast("array<string>")
-    return df.withColumns({
-        "value_json": F.when(inner.isNotNull(), J.canonical(inner)).otherwise(J.canonical(r)),
-        "confidence": F.when(inner.isNotNull(), T.valid_confidence(number)),
-        "evidence_json": F.when(inner.isNotNull(), J.member(r, "evidence")),
-        "errors": F.coalesce(F.when(inner.isNotNull(), F.transform(J.elements(J.member(r, "errors")), J.text)), none)})
+    keep = df.columns
+    df = df.withColumns({"_i": J.member(r, "value"), "_c": J.member(r, "confidence"), "_e": J.member(r, "errors"), "_v": J.member(r, "evidence")})
+    wrapped = F.col("_i").isNotNull()
+    df = df.withColumn("_x", F.when(wrapped, F.col("_i")).otherwise(r))
+    return J.sealed(df, [c for c in keep if c not in ("value_json", "confidence", "errors")], [
+        J.canonical(F.col("_x")).alias("value_json"),
+        F.when(wrapped, T.valid_confidence(J.number(F.col("_c")).cast("double"))).alias("confidence"),
+        F.when(wrapped, F.col("_v")).alias("evidence_json"),
+        F.coalesce(F.when(wrapped, F.transform(J.elements(F.col("_e")), J.text)), F.array().cast("array<string>")).alias("errors")])
 
 
 def path_lookup(wanted: DataFrame, flat: DataFrame, keys: list[str]) -> DataFrame:
