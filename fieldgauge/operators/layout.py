@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import jsonvals as J, text as T
 from .ranking import ranked
 
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 LIST_MARKER = r"^\s*(?:[-*+•‣◦▪]|\d+[.)])(?:\s|$)"
 PAGE = ["document_id", "page"]
