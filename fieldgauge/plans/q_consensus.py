@@ -70,7 +70,6 @@ def _(v):
     return C.majority_vote(t, schema_leaves(v.spark, ITEMS), t.select("document_id").distinct(), 3).select("document_id", "error")
 
 
-FOLD = """WITH RECURSIVE_PLACEHOLDER"""
 CTES["sigs"] = (("cand",), f"SELECT document_id, field_path, f, branch, value_json, {SIG} AS sig FROM cand")
 
 

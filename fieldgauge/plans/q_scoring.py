@@ -221,7 +221,6 @@ def _(v):
     return rounded(g, "baseline", "candidate")
 
 
-CTES["cells"] = (("changes",), "SELECT 1")
 CTES["cells"] = ((S0, S1), f"""SELECT document_id, field_path, b.expected_json, b.actual_json AS before_json, c.actual_json AS after_json, b.status AS before_status, c.status AS after_status,
  CASE WHEN b.status <> 'correct' AND c.status = 'correct' THEN 'fixed' WHEN b.status = 'correct' AND c.status <> 'correct' THEN 'regressed' ELSE 'same' END AS change
  FROM {S0} b JOIN {S1} c USING (document_id, field_path)""")
