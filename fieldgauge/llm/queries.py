@@ -1,12 +1,14 @@
 """The registered queries of the corpus operators, one for each, over their whole tables, and their SQL."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from . import chat, decontaminate, mixing, sharding
+from . import chat, decontaminate, mixing, near_dedup, quality, sharding
 from .store import table
 
 
+def op1_near_duplicates(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_name")
+
+
 def op2_mix_sources(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
@@ -22,9 +24,13 @@ def op4_find_leaks(spark, sf_dir):
     return decontaminate.leak_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_shard_documents(spark, sf_dir):
     return sharding.shard_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_format_chats, op4_find_leaks, op10_shard_documents)}
-ORACLES = {"op2_mix_sources": mixing.MIX_SQL, "op3_format_chats": chat.CHAT_SQL, "op4_find_leaks": decontaminate.LEAK_SQL}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_format_chats, op4_find_leaks, op9_quality_rules, op10_shard_documents)}
+ORACLES = {"op1_near_duplicates": near_dedup.DEDUP_SQL, "op2_mix_sources": mixing.MIX_SQL, "op3_format_chats": chat.CHAT_SQL, "op4_find_leaks": decontaminate.LEAK_SQL}
