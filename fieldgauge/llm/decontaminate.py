@@ -21,7 +21,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
+
+from .store import added
 
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _UPPER = bytes(range(0x41, 0x5B))
@@ -64,61 +65,62 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, part_chars:
     """``docs`` plus n_words, n_hit, items (ids, sorted as strings), contaminated and spans (start, end in the original text)."""
     own = ["n_words", "n_hit", "items", "contaminated", "spans"]
     carried = [c for c in docs.columns if c not in own]
-    out = docs.select(*[F.col(c).alias(f"in_{c}") for c in carried], F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<array<bigint>>").alias("runs"),
-                      F.array().cast("array<string>").alias("items"))
-    spark, schema = docs.sparkSession, out.schema
-    scans = [_scanner(spark.sparkContext.broadcast(part)) for part in _windows(items, window, part_chars)] or [_scanner(spark.sparkContext.broadcast([]))]
-    for scan in scans[:-1]:
-        out = out.mapInPandas(scan, schema)
-    return out.mapInPandas(lambda batches: _spans(scans[-1](batches)), StructType([*schema.fields[:len(carried)], StructField("n_words", LongType()), StructField("n_hit", LongType()), StructField("items", ArrayType(StringType())),
-                           StructField("contaminated", BooleanType()), StructField("spans", ArrayType(ArrayType(LongType())))])).select(
-        *[F.col(f"in_{c}").alias(c) for c in carried], *own)
-
-
-def _scanner(part):
-    def scan(batches):
+    out = docs.select(*[F.col(c).alias(f"in_{c}") for c in carried], F.lit(None).cast("array<array<bigint>>").alias("runs"), F.array().cast("array<string>").alias("items"))
+    if "text" not in carried:
+        raise ValueError("docs must have a column text")
+    spark = docs.sparkSession
+    parts = [spark.sparkContext.broadcast(part) for part in _windows(items, window, part_chars)] or [spark.sparkContext.broadcast([])]
+    marks = "runs array<array<bigint>>, items array<string>"
+    for part in parts[:-1]:
+        out = added(out, marks, _scanner(part), ["in_text", "runs", "items"], ("runs", "items"))
+    out = added(out, "n_words long, n_hit long, items array<string>, contaminated boolean, spans array<array<bigint>>", _scanner(parts[-1], last=True), ["in_text", "runs", "items"], ("runs", "items"))
+    return out.select(*[F.col(f"in_{c}").alias(c) for c in carried], *own)
+
+
+def _scanner(part, last: bool = False):
+    def start():
         import ahocorasick
         machine, patterns = ahocorasick.Automaton(), part.value
-        for n, (w, ids) in enumerate(patterns):
+        for n, (w, _) in enumerate(patterns):
             machine.add_word(f" {w} ", (w.count(" ") + 1, n))
         if patterns:
             machine.make_automaton()
-        for b in batches:
+
+        def scan(texts, old_runs, old_items):
             counts, runs, items = [], [], []
-            for text, old, had in zip(b["in_text"], b["runs"], b["items"]):
+            for text, old, had in zip(texts, old_runs, old_items):
                 words = words_of(text)
                 counts.append(len(words))
-                new, ids = [list(r) for r in old] if old is not None else [], set(had)
+                new, ids = list(old or ()), set(had)
                 if words and patterns:
                     joined = f" {b' '.join(words).decode('utf-8', 'replace')} "
                     ends = None
                     for end, (size, n) in machine.iter(joined):
                         if ends is None:
                             ends = [m.start() for m in re.finditer(" ", joined)][1:]
-                        last = bisect.bisect_left(ends, end)
-                        new.append([last - size + 1, last + 1])
+                        stop = bisect.bisect_left(ends, end) + 1
+                        new.append([stop - size, stop])
                         ids.update(patterns[n][1])
                 runs.append(new or None)
                 items.append(sorted(ids))
-            yield b.assign(n_words=counts, runs=pd.Series(runs, dtype=object, index=b.index), items=pd.Series(items, dtype=object, index=b.index))
-    return scan
-
-
-def _spans(batches):
-    """Merge the runs of hit words and find their places in the original text."""
-    for b in batches:
-        hits, spans = [], []
-        for text, runs in zip(b["in_text"], b["runs"]):
-            merged: list[list[int]] = []
-            for a, z in sorted(map(list, runs)) if runs is not None else ():
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], z)
-                else:
-                    merged.append([a, z])
-            places = [m.span() for m in _ORIGINAL_WORD.finditer(text)] if merged else []
-            hits.append(sum(z - a for a, z in merged))
-            spans.append([[places[a][0], places[z - 1][1]] for a, z in merged])
-        yield b.drop(columns=["runs"]).assign(n_hit=hits, contaminated=[h > 0 for h in hits], spans=pd.Series(spans, dtype=object, index=b.index))
+            if not last:
+                return {"runs": runs, "items": items}
+            places = [_spans(t, r) for t, r in zip(texts, runs)]
+            return {"n_words": counts, "n_hit": [h for h, _ in places], "items": items, "contaminated": [h > 0 for h, _ in places], "spans": [s for _, s in places]}
+        return scan
+    return start
+
+
+def _spans(text: str | None, runs: list | None) -> tuple[int, list]:
+    """The number of words in the runs of hit words, merged, and each run's place in the original text."""
+    merged: list[list[int]] = []
+    for a, z in sorted(runs or ()):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], z)
+        else:
+            merged.append([a, z])
+    places = [m.span() for m in _ORIGINAL_WORD.finditer(text)] if merged else []
+    return sum(z - a for a, z in merged), [[places[a][0], places[z - 1][1]] for a, z in merged]
 
 
 def leak_digests(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -22,17 +22,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import mixed, runs, words
-from .store import written
+from .store import added, written
 
 SHINGLE = 5
 
 
-def shingle_sets(texts: pd.Series):
+def shingle_sets(texts):
     """The sorted distinct shingle hashes (signed 64-bit) of each text."""
     for w in words(texts):
         h, at = runs(w, SHINGLE)
@@ -112,15 +111,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 256, screen: int = 64) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, class_name."""
     t = percent / 100
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def sketches(batches):
-        for b in batches:
-            found = [(len(s), class_name(s), s[:screen]) for s in shingle_sets(b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [x[0] for x in found], "name": pd.Series([x[1] for x in found], dtype=object, index=b.index),
-                                "low": pd.Series([x[2] for x in found], dtype=object, index=b.index)})
+    def sketches(texts):
+        found = [(len(s), class_name(s), s[:screen]) for s in shingle_sets(texts)]
+        return {"n": [x[0] for x in found], "name": [x[1] for x in found], "low": [x[2] for x in found]}
 
-    seen = written(docs.select("doc_id", "text").mapInPandas(sketches, f"doc_id {id_type}, n long, name string, low array<bigint>"), "sketches")
+    seen = written(added(docs.select("doc_id", "text"), "n long, name string, low array<bigint>", lambda: sketches, ["text"], ("text",)), "sketches")
     classes = seen.where("n > 0").groupBy("name").agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "classes")
     # one document stands for its class; equal rows and null ids may stand twice, which only makes more values count as shared
@@ -133,13 +129,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 256, screen: in
     able = classes.withColumn("code", code).join(able, "code", "left_semi").select("name", "first_id")
     able = written(able, "able")
 
-    def whole(batches):
-        for b in batches:
-            found = [(class_name(s), len(s), s) for s in shingle_sets(b["text"])]
-            yield pd.DataFrame({"name": [x[0] for x in found], "n": [x[1] for x in found], "values": pd.Series([x[2] for x in found], dtype=object)})
+    def whole(texts):
+        found = [(class_name(s), len(s), s) for s in shingle_sets(texts)]
+        return {"name": [x[0] for x in found], "n": [x[1] for x in found], "values": [x[2] for x in found]}
 
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(able.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
-    sets = texts.mapInPandas(whole, "name string, n int, values array<bigint>").join(able.select("name"), "name", "left_semi").dropDuplicates(["name"])
+    sets = added(texts, "name string, n int, values array<bigint>", lambda: whole, ["text"], ("text",)).join(able.select("name"), "name", "left_semi").dropDuplicates(["name"])
     sets = written(sets, "sets")
 
     # inverted lists of the rarest retained values

@@ -20,10 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from .arrays import per_text, runs, words
-from .store import written
+from .store import added, written
 
 _SYMBOLS, _CAPITALS, _SMALL, _MARKS, _DIGITS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (
     b"#*$%&|<>", bytes(range(65, 91)), bytes(range(97, 123)), b"!?;:\"'()[]{}=+/\\^~_@", b"0123456789"))
@@ -151,12 +150,11 @@ def judge(docs: DataFrame, labels: DataFrame, min_words: int = 20, repeat_percen
     verdict = "base_failed boolean, score double, kept boolean"
     numbers = ", ".join([f"{c} long" for c in COUNTS] + [f"{c} double" for c in SHARES])
 
-    def count(batches):
-        for b in batches:
-            yield pd.concat([b.drop(columns=["_text"]), counts(b["_text"]).set_index(b.index)], axis=1)
+    def count(texts):
+        return counts(pd.Series(texts, dtype=object)).to_dict("series")
 
     plain = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    stats = written(plain.mapInPandas(count, f"_id {docs.schema['doc_id'].dataType.simpleString()}, {numbers}"), "quality-counts")
+    stats = written(added(plain, numbers, lambda: count, ["_text"], ("_text",)), "quality-counts")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     labelled = stats.where(~failed).join(marked, F.col("_id") == F.col("doc_id")).select("_id", *SHARES, "quality")
@@ -174,21 +172,24 @@ def judge(docs: DataFrame, labels: DataFrame, min_words: int = 20, repeat_percen
     threshold = calibrate(forest.score(points), good, clean_loss, default_threshold) if marked else default_threshold
     model = spark.sparkContext.broadcast((forest, threshold))
 
-    def decide(batches):
+    def decide(numbers: pd.DataFrame) -> dict:
         forest, threshold = model.value
-        for b in batches:
-            b["base_failed"] = (b["n_words"] < min_words) | (100 * b["n_repeat_words"] > repeat_percent * b["n_words"])
-            b["score"] = forest.score(b[SHARES].to_numpy(float))
-            b["kept"] = ~b["base_failed"] & (b["score"] <= threshold)
-            yield b
+        failed = (numbers["n_words"] < min_words) | (100 * numbers["n_repeat_words"] > repeat_percent * numbers["n_words"])
+        score = forest.score(numbers[SHARES].to_numpy(float))
+        return {"base_failed": failed, "score": score, "kept": ~failed & (score <= threshold)}
 
+    columns = [*COUNTS, *SHARES]
     if keep == ["doc_id"]:
-        done = stats.mapInPandas(decide, f"_id {docs.schema['doc_id'].dataType.simpleString()}, {numbers}, {verdict}")
+        done = added(stats, verdict, lambda: lambda *values: decide(pd.DataFrame(dict(zip(columns, values)), columns=columns)), columns)
         return done.withColumnRenamed("_id", "doc_id").select("doc_id", *own)
     # whole rows are kept: count again beside them instead of moving every text to meet its numbers
+
+    def both(texts):
+        numbers = counts(pd.Series(texts, dtype=object))
+        return {**numbers.to_dict("series"), **decide(numbers)}
+
     carried = docs.select(*[F.col(c).alias(f"in_{c}") for c in keep], F.col("text").alias("_text"))
-    schema = StructType([*carried.drop("_text").schema.fields, *StructType.fromDDL(f"{numbers}, {verdict}").fields])
-    return carried.mapInPandas(lambda batches: decide(count(batches)), schema).select(*[F.col(f"in_{c}").alias(c) for c in keep], *own)
+    return added(carried, f"{numbers}, {verdict}", lambda: both, ["_text"], ("_text",)).select(*[F.col(f"in_{c}").alias(c) for c in keep], *own)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
