@@ -94,21 +94,22 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
     sketch = sets.select("name", "n", F.slice("values", 1, k).alias("low"))
     two = (pairs.join(sketch.select(F.col("name").alias("a"), F.col("n").alias("n_a"), F.col("low").alias("low_a")), "a")
            .join(sketch.select(F.col("name").alias("b"), F.col("n").alias("n_b"), F.col("low").alias("low_b")), "b"))
-    union = F.sort_array(F.array_union("low_a", "low_b"))
-    two = two.withColumn("shared", F.array_intersect("low_a", "low_b")).withColumn("lowest", F.slice(union, 1, k))
-    hits = F.size(F.filter("shared", lambda x: x <= F.element_at("lowest", -1)))
-    estimate = hits / F.size("lowest")
-    exact = F.size("shared")
-    two = two.select("a", "b", "n_a", "n_b", (F.greatest("n_a", "n_b") <= k).alias("whole"), (100 * exact >= percent * (F.col("n_a") + F.col("n_b") - exact)).alias("sure"),
-                     (estimate >= t - 5 * math.sqrt(t * (1 - t) / k)).alias("likely"))
-    two = written(two.where(F.when(F.col("whole"), F.col("sure")).otherwise(F.col("likely"))), "estimates")
+    shared = F.size(F.array_intersect("low_a", "low_b"))
+    lowest = F.slice(F.sort_array(F.array_union("low_a", "low_b")), 1, k)
+    # the highest value of the union sketch, computed once for a pair, then the shared values up to it
+    hits = F.element_at(F.transform(F.array(F.element_at(lowest, -1)), lambda top: F.size(F.filter(F.array_intersect("low_a", "low_b"), lambda x: x <= top))), 1)
+    sure = 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)  # sketches that hold whole sets need no estimate
+    likely = hits / F.least(F.lit(k), F.size(lowest)) >= t - 5 * math.sqrt(t * (1 - t) / k)
+    two = two.withColumn("whole", F.greatest("n_a", "n_b") <= k)
+    two = two.where(F.when(F.col("whole"), sure).otherwise(likely)).select("a", "b", "n_a", "n_b", "whole")
+    two = written(two, "estimates")
     full = two.where(~F.col("whole")).select("a", "b", "n_a", "n_b")
     full = (full.join(sets.select(F.col("name").alias("a"), F.col("values").alias("all_a")), "a").join(sets.select(F.col("name").alias("b"), F.col("values").alias("all_b")), "b"))
     both = F.size(F.array_intersect("all_a", "all_b"))
     return two.where("whole").select("a", "b").union(full.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 256, screen: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 1024, screen: int = 64) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, class_name."""
     t = percent / 100
 
