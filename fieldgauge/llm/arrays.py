@@ -67,14 +67,14 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(texts, lower: bool = True) -> Iterator[Words]:
+def words(texts, lower: bool = True, group_bytes: int = BLOCK) -> Iterator[Words]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of each text (null: none), some megabytes of text at a time."""
     group, size, first = [], 0, 0
     for n, t in enumerate(texts):
         b = t.encode("utf-8", "surrogatepass") if t else b""
         group.append(b)
         size += len(b)
-        if size >= BLOCK:
+        if size >= group_bytes:
             yield _words(group, first, lower)
             group, size, first = [], 0, n + 1
     if group:
