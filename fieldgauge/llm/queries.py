@@ -1,7 +1,7 @@
 """The registered queries of the corpus operators, one for each, over their whole tables, and their SQL."""
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, near_dedup, quality, sharding
+from . import chat, decontaminate, html_extract, language_id, line_dedup, lm_score, mixing, near_dedup, quality, sharding
 from .store import table
 
 
@@ -24,6 +24,22 @@ def op4_find_leaks(spark, sf_dir):
     return decontaminate.leak_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_repeats(spark, sf_dir):
+    return line_dedup.repeat_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_page_texts(spark, sf_dir):
+    return html_extract.page_texts(table(spark, sf_dir, "pages"))
+
+
+def op7_lm_scores(spark, sf_dir):
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op8_languages(spark, sf_dir):
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -32,5 +48,6 @@ def op10_shard_documents(spark, sf_dir):
     return sharding.shard_sizes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_format_chats, op4_find_leaks, op9_quality_rules, op10_shard_documents)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_format_chats, op4_find_leaks, op5_line_repeats,
+                                   op6_page_texts, op7_lm_scores, op8_languages, op9_quality_rules, op10_shard_documents)}
 ORACLES = {"op1_near_duplicates": near_dedup.DEDUP_SQL, "op2_mix_sources": mixing.MIX_SQL, "op3_format_chats": chat.CHAT_SQL, "op4_find_leaks": decontaminate.LEAK_SQL}
