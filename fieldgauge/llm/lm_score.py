@@ -274,9 +274,8 @@ def lm_scores(docs: DataFrame, frequent: int = 262_144) -> DataFrame:
         by_class[0] = (ends, 1)
     tokens = np.array([by_class.get(k, (0, 0))[0] for k in range(CLASSES)], float)
     types = np.array([by_class.get(k, (0, 0))[1] for k in range(CLASSES)], float)
-    inside = np.log10(tokens + 0.1 * (types + (np.arange(CLASSES) > 0)))  # the end's class has no unknown word
-    if not ends:
-        inside[0] = -1.0
+    unknown = (np.arange(CLASSES) > 0) | (ends == 0)  # the end's class has no unknown word once there is an end
+    inside = np.log10(tokens + 0.1 * (types + unknown))
     n_all, v_all = int(tokens.sum()), int(types.sum())
     whole = float(np.log10(n_all + 0.1 * (v_all + 1)))
     prior = (tokens + 1) / (tokens + 1).sum()

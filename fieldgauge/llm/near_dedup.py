@@ -110,7 +110,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 1024, screen: int = 64) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id, kept, class_name."""
+    """Per document: doc_id, n_shingles, component_id, kept, class_name (equal sets), group_name (linked classes)."""
     t = percent / 100
 
     def sketches(texts):
@@ -182,25 +182,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 1024, screen: i
     groups = classes.join(found.withColumnRenamed("node", "name"), "name", "left")
     groups = groups.where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "name")).select("name", "root", "first_id")
     least = groups.groupBy("root").agg(F.min("first_id").alias("least_id"))
-    named = groups.join(least, "root").select("name", "least_id", F.lit(True).alias("grouped"))
+    named = groups.join(least, "root").select("name", "least_id", "root", F.lit(True).alias("grouped"))
     out = seen.select("doc_id", "n", "name").join(named, "name", "left")
     out = out.withColumn("component_id", F.when(F.col("grouped"), F.col("least_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("name").alias("class_name"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), F.col("name").alias("class_name"), F.coalesce("root", "name").alias("group_name"))
 
 
 def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group: the one with the lowest doc_id.
 
-    Rows that share a doc_id are told apart by their class; equal rows, and rows of null doc_id in a group without a lowest, are
-    reduced to one by comparing whole rows, which moves only such rows.
+    Rows are told from their doc_id; only rows whose doc_id is null or comes more than once are looked at again, by their sets, and
+    one row of each doc_id and group stays (of those without a word: one of each doc_id and text).
     """
     verdicts = written(near_duplicates(docs, percent), "verdicts")
-    gone = verdicts.groupBy("doc_id").agg(F.min(F.col("kept").cast("int")).alias("all_kept"), F.max(F.col("kept").cast("int")).alias("some_kept"), F.count(F.lit(1)).alias("many"))
-    odd = gone.where("all_kept = 0 OR many > 1").select(F.col("doc_id").alias("_id"), "some_kept")
+    each = verdicts.groupBy("doc_id").agg(F.min("kept").alias("all_kept"), F.max("kept").alias("some_kept"), F.count(F.lit(1)).alias("many"))
+    # what goes or needs a look is the smaller part: rows that simply stay match nothing here
+    odd = each.where("NOT all_kept OR many > 1").select(F.col("doc_id").alias("_id"), "some_kept")
     beside = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     single = beside.where("some_kept IS NULL").select(*docs.columns)
-    several = beside.where("some_kept = 1").select(*docs.columns).dropDuplicates()
-    return single.union(several)
+
+    def names(texts):
+        return {"_name": [class_name(s) for s in shingle_sets(texts)]}
+
+    several = added(beside.where("some_kept").select(*docs.columns), "_name string", lambda: names, ["text"])
+    stay = verdicts.where("kept AND class_name IS NOT NULL").join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("class_name").alias("_name"), F.col("group_name").alias("_group")).distinct()
+    several = several.join(stay, "_name", "left").where("_name IS NULL OR _group IS NOT NULL").withColumn("_group", F.coalesce("_group", F.concat(F.lit("text "), F.coalesce("text", F.lit("")))))
+    return single.union(several.dropDuplicates(["doc_id", "_group"]).select(*docs.columns))
 
 
 DEDUP_SQL = r"""

@@ -6,7 +6,7 @@ from .store import table
 
 
 def op1_near_duplicates(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_name")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("class_name", "group_name")
 
 
 def op2_mix_sources(spark, sf_dir):
