@@ -29,6 +29,7 @@ from .arrays import mixed, runs, words
 from .store import added, written
 
 SHINGLE = 5
+BITS = 1 << 25
 
 
 def shingle_sets(texts):
@@ -109,9 +110,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataF
     return two.where("whole").select("a", "b").union(full.where(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b"))
 
 
+def _bit_map(hashes: DataFrame) -> np.ndarray:
+    """BITS bits, set at the remainders of ``h``; they come to the driver as at most BITS / 32768 pieces of 4 kB."""
+    at = hashes.select(F.pmod("h", F.lit(BITS)).alias("at"))
+    pieces = at.groupBy(F.floor(F.col("at") / 32768).alias("piece")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in pieces:
+        out[r["piece"] * 4096:(r["piece"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 1024, screen: int = 64) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id, kept, class_name (equal sets), group_name (linked classes)."""
-    t = percent / 100
+    t, spark = percent / 100, docs.sparkSession
 
     def sketches(texts):
         found = [(len(s), class_name(s), s[:screen]) for s in shingle_sets(texts)]
@@ -130,12 +141,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 1024, screen: i
     able = classes.withColumn("code", code).join(able, "code", "left_semi").select("name", "first_id")
     able = written(able, "able")
 
-    def whole(texts):
-        found = [(class_name(s), len(s), s) for s in shingle_sets(texts)]
+    # whole sets of those documents only: a bit map of fixed size, over hashed ids, spares the others without moving any text
+    bits = spark.sparkContext.broadcast(_bit_map(able.select(F.xxhash64("first_id").alias("h"))))
+
+    def whole(texts, places):
+        at = np.array(places, np.int64)
+        wanted = (bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 if len(at) else at
+        found = [(class_name(s), len(s), s) for s in shingle_sets([t if w else None for t, w in zip(texts, wanted)])]
         return {"name": [x[0] for x in found], "n": [x[1] for x in found], "values": [x[2] for x in found]}
 
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(able.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("text")
-    sets = added(texts, "name string, n int, values array<bigint>", lambda: whole, ["text"], ("text",)).join(able.select("name"), "name", "left_semi").dropDuplicates(["name"])
+    texts = docs.where("text IS NOT NULL").select("text", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)).alias("place"))
+    sets = added(texts, "name string, n int, values array<bigint>", lambda: whole, ["text", "place"], ("text", "place")).where("name IS NOT NULL")
+    sets = sets.join(able.select("name"), "name", "left_semi").dropDuplicates(["name"])
     sets = written(sets, "sets")
 
     # inverted lists of the rarest retained values
