@@ -214,12 +214,11 @@ def try_member_text(v: Column, key: Column) -> Column:
     return F.get(F.transform(F.filter(members(v), lambda m: m["key"] == key), lambda m: text(m["value"])), F.lit(0))
 
 
+_TOKENS = r'"(?:[^"\\]++|\\.)*+"\s*:?|-?[0-9][0-9.eE+-]*|true|false'
+
+
 def value_needle(v: Column) -> Column:
-    """First non-empty scalar inside a value, as search text (descends three levels, key order)."""
-    def level(x, depth):
-        if depth == 0:
-            return F.when(is_empty(x) | kind(x).isin("object", "array"), None).otherwise(text(x))
-        inner = F.coalesce(elements(x), F.transform(members(x), lambda m: m["value"]))
-        found = F.filter(F.transform(inner, lambda e: level(e, depth - 1)), lambda s: s.isNotNull() & (s != ""))
-        return (F.when(is_empty(x), None).when(kind(x).isin("object", "array"), F.get(found, F.lit(0))).otherwise(text(x)))
-    return level(v, 3)
+    """First non-empty scalar inside a value, as search text, at any depth and in the order of the text."""
+    scalars = F.filter(F.regexp_extract_all(v, F.lit(_TOKENS), F.lit(0)), lambda t: ~F.endswith(t, F.lit(":")))
+    found = F.filter(F.transform(scalars, text), lambda s: s.isNotNull() & (F.trim(s) != ""))
+    return F.when(kind(v).isin("object", "array"), F.get(found, F.lit(0))).when(~is_empty(v), text(v))

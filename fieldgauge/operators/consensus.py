@@ -22,6 +22,12 @@ def confidence_provenance(confidence: Column, source: Column) -> Column:
     return F.struct(c.alias("confidence"), (c < 0.9).alias("low"), label.alias("label"))
 
 
+def _expected(df: DataFrame, branches: int) -> DataFrame:
+    """``df``; a row of a branch or tier that is not configured fails the job, as its vote would otherwise be lost."""
+    wrong = F.raise_error(F.concat(F.lit(f"expected branches 0 to {branches - 1}, found "), F.coalesce(F.col("branch").cast("string"), F.lit("null")))).cast("boolean")
+    return df.where(F.when(F.col("branch").between(0, branches - 1), F.lit(True)).otherwise(wrong))
+
+
 def _by_branch(df: DataFrame, branches: int, item: Column, keys: list[str]) -> DataFrame:
     """One array of items per key in branch order. One slot per branch keeps the state bounded."""
     slots = [F.max(F.when(F.col("branch") == b, item)).alias(f"_s{b}") for b in range(branches)]
@@ -38,7 +44,7 @@ def majority_vote(candidates: DataFrame, leaves: DataFrame, documents: DataFrame
     """
     quorum = quorum or branches // 2 + 1
     plain = leaves.withColumn("format", F.lit(None).cast("string"))
-    checked = with_errors(with_leaf(candidates.where(~J.is_null(F.col("value_json"))), plain, "inner"), F.col("value_json"), "_errors")
+    checked = with_errors(with_leaf(_expected(candidates, branches).where(~J.is_null(F.col("value_json"))), plain, "inner"), F.col("value_json"), "_errors")
     valid = checked.where(F.size("_errors") == 0)
     key = F.lit(None).cast("string")
     for path, name in (row_keys or {}).items():
@@ -78,7 +84,7 @@ def merge_changes(candidates: DataFrame, branches: int, current: DataFrame | Non
 
     Fields equal to ``current`` are not changes. Two tables always conflict, having no row key here.
     """
-    rows = candidates.where(F.col("value_json").isNotNull())
+    rows = _expected(candidates, branches).where(F.col("value_json").isNotNull())
     if current is not None:
         before = current.select(*DF, J.canonical(F.col("value_json")).alias("_before"))
         rows = rows.join(before, DF, "left").where(~J.canonical(F.col("value_json")).eqNullSafe(F.col("_before")))
@@ -167,7 +173,7 @@ def cascade_select(candidates: DataFrame, tiers: int, leaves: DataFrame, documen
     """
     item = F.struct("value_json", "confidence", "errors")
     slots = [F.max(F.when(F.col("branch") == t, item)).alias(f"_t{t}") for t in range(tiers)]
-    wide = candidates.groupBy(*DF).agg(*slots)
+    wide = _expected(candidates, tiers).groupBy(*DF).agg(*slots)
     upto = [F.struct(F.lit(t).alias("tier"), F.coalesce(*[F.col(f"_t{i}") for i in range(t, -1, -1)]).alias("x")) for t in range(tiers)]
     acc = (wide.select(*DF, F.explode(F.array(*upto)).alias("e")).where(F.col("e.x").isNotNull())
            .select(*DF, F.col("e.tier").alias("tier"), "e.x.value_json", "e.x.confidence", "e.x.errors"))
@@ -181,6 +187,7 @@ def cascade_select(candidates: DataFrame, tiers: int, leaves: DataFrame, documen
 def cascade_unresolved_fill(candidates: DataFrame, tiers: int, leaves: DataFrame, documents: DataFrame, policy: dict) -> DataFrame:
     """Field scope: each later tier overwrites only the fields still unresolved (tiers are few)."""
     cols = ["value_json", "confidence", "errors"]
+    candidates = _expected(candidates, tiers)
     current = candidates.where("branch = 0").select(*DF, *cols)
     for t in range(1, tiers):
         open_ = assess_acceptance(current, leaves, documents, policy).select("document_id", F.explode("unresolved").alias("field_path"))

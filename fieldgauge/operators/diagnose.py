@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonvals as J, text as T
+from ..session import materialized
 from .ranking import latest, top_k
 from .scoring import FAILURES, ratio
 
@@ -11,32 +12,36 @@ REVIEW_STATES = ("accepted", "corrected", "ground_truth_issue", "ambiguous", "ig
 
 
 def top_failing_fields(scored: DataFrame, k: int = 8) -> DataFrame:
-    """Fields by failure count; one passing control document each. Counts are combined map-side."""
+    """Per run, fields by failure count; one passing control document each. Counts are combined map-side."""
     ok = F.col("status") == "correct"
-    agg = scored.groupBy("field_path").agg(
+    agg = scored.groupBy("run_id", "field_path").agg(
         F.count(F.lit(1)).alias("scored"), F.count_if(~ok).alias("failed"),
-        F.min(F.when(ok, F.col("document_id"))).alias("control_document_id")).where(F.col("failed") > 0)
-    return top_k(agg, [], [F.desc("failed"), F.col("field_path")], k, "field_rank")
+        F.min(F.when(ok, F.struct("document_id", "expected_json", "actual_json"))).alias("_control")).where(F.col("failed") > 0)
+    agg = agg.select("run_id", "field_path", "scored", "failed", F.col("_control.document_id").alias("control_document_id"),
+                     F.col("_control.expected_json").alias("control_expected"), F.col("_control.actual_json").alias("control_actual"))
+    return top_k(agg, ["run_id"], [F.desc("failed"), F.col("field_path")], k, "field_rank")
 
 
 def failure_patterns(scored: DataFrame, fields: int = 8, patterns: int = 4, examples: int = 2) -> DataFrame:
-    """Top mismatch patterns (status, expected, actual) of the top failing fields, with example documents.
+    """Per run, top mismatch patterns (status, expected, actual) of the top failing fields, with example documents.
 
-    Hot patterns are reduced map-side; the examples of a pattern are cut to a few per task before the shuffle.
+    The scoring is done once: its narrow columns are written to the shared folder. Hot patterns are reduced map-side;
+    the examples of a pattern are cut to a few per task before the shuffle.
     """
-    sig = ["field_path", "status", "expected", "actual"]
+    scored = materialized(scored.select("run_id", "field_path", "status", "document_id", "expected_json", "actual_json"), "scored")
+    sig = ["run_id", "field_path", "status", "expected", "actual"]
     bad = scored.where(F.col("status") != "correct").select(
-        "field_path", "status", J.canonical(F.col("expected_json")).alias("expected"), J.canonical(F.col("actual_json")).alias("actual"), "document_id")
-    bad = bad.withColumns({"expected": F.coalesce("expected", F.lit("null")), "actual": F.coalesce("actual", F.lit("null"))})
-    counts = bad.groupBy(*sig).agg(F.count(F.lit(1)).alias("count"), F.min("document_id").alias("first_document"))
-    n = counts.groupBy("field_path").agg(F.count(F.lit(1)).alias("pattern_count"))
-    best = top_k(counts, ["field_path"], [F.desc("count"), F.col("first_document"), F.col("status"), F.col("expected"), F.col("actual")], patterns, "pattern_rank")
+        "run_id", "field_path", "status", F.coalesce(J.canonical(F.col("expected_json")), F.lit("null")).alias("expected"),
+        F.coalesce(J.canonical(F.col("actual_json")), F.lit("null")).alias("actual"), "document_id")
+    counts = materialized(bad.groupBy(*sig).agg(F.count(F.lit(1)).alias("count"), F.min("document_id").alias("first_document")), "patterns")
+    n = counts.groupBy("run_id", "field_path").agg(F.count(F.lit(1)).alias("pattern_count"))
+    best = top_k(counts, ["run_id", "field_path"], [F.desc("count"), F.col("first_document"), F.col("status"), F.col("expected"), F.col("actual")], patterns, "pattern_rank")
     top = top_failing_fields(scored, fields)
-    kept = best.join(top, "field_path").join(n, "field_path")
+    kept = best.join(top, ["run_id", "field_path"]).join(n, ["run_id", "field_path"])
     picked = top_k(bad.join(kept.select(*sig), sig, "left_semi"), sig, [F.col("document_id")], examples, "_r")
     shown = picked.groupBy(*sig).agg(F.array_sort(F.collect_list("document_id")).alias("examples"))
-    return kept.join(shown, sig).select("field_path", "field_rank", "scored", "failed", "control_document_id", "pattern_count", "pattern_rank",
-                                        "status", "expected", "actual", "count", "examples")
+    return kept.join(shown, sig).select("run_id", "field_path", "field_rank", "scored", "failed", "control_document_id", "control_expected", "control_actual",
+                                        "pattern_count", "pattern_rank", "status", "expected", "actual", "count", "examples")
 
 
 def page_texts(blocks: DataFrame) -> DataFrame:
@@ -54,7 +59,12 @@ def source_context(requests: DataFrame, pages: DataFrame) -> DataFrame:
     """
     key = ["document_id", "field_path"]
     needles = requests.withColumn("_n", T.collapse(F.col("needle"))).where(F.col("_n") != "")
-    hit = needles.join(pages, "document_id").withColumn("_at", F.expr("locate(lower(_n), lower(text))")).where("_at > 0")
+    # a document's needles travel as one array; a page's text leaves the join once for each hit only
+    asked_of = needles.groupBy("document_id").agg(F.collect_list(F.struct("field_path", "needle_rank", "_n")).alias("_needles"))
+    low = pages.join(asked_of, "document_id").withColumn("_low", F.lower("text"))
+    at = F.filter(F.transform("_needles", lambda x: F.struct(x["field_path"].alias("field_path"), x["needle_rank"].alias("needle_rank"), x["_n"].alias("_n"),
+                                                             F.call_function("locate", F.lower(x["_n"]), F.col("_low")).alias("_at"))), lambda x: x["_at"] > 0)
+    hit = low.select("document_id", "page", "text", F.inline(at))
     start = F.greatest(F.col("_at") - 300, F.lit(1))
     end = F.col("_at") - 1 + F.least(F.length("_n"), F.lit(1200)) + 400
     window = F.substring("text", start, end - start + 1)
@@ -78,11 +88,11 @@ def keyword_windows(requests: DataFrame, pages: DataFrame, size: int = 1600, ste
     starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(step))
     windows = texts.select("document_id", "page", F.explode(starts).alias("start"), "text").select(
         "document_id", "page", "start", F.substring("text", F.col("start") + 1, F.lit(size)).alias("text"))
-    asked = requests.select("document_id", "field_path", field_words(F.col("field_path")).alias("_words"))
-    low = F.lower("text")
+    asked = requests.select("document_id", F.struct("field_path", field_words(F.col("field_path")).alias("words")).alias("f")).groupBy("document_id").agg(F.collect_set("f").alias("_asked"))
+    low = F.col("_low")
     count = lambda w: ((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int")
-    score = F.aggregate("_words", F.lit(0), lambda a, w: a + count(w))
-    scored = asked.join(windows, "document_id").withColumn("_score", score)
+    score = lambda f: F.struct(f["field_path"].alias("field_path"), F.aggregate(f["words"], F.lit(0), lambda a, w: a + count(w)).alias("_score"))
+    scored = windows.join(asked, "document_id").withColumn("_low", F.lower("text")).select("document_id", "page", "start", "text", F.inline(F.transform("_asked", score)))
     best = scored.groupBy("document_id", "field_path").agg(F.max_by(F.struct("page", "text"), F.struct("_score", (-F.col("page")).alias("p"), (-F.col("start")).alias("s"))).alias("_b"))
     return best.select("document_id", "field_path", F.col("_b.page").alias("page"), F.col("_b.text").alias("text"))
 
@@ -135,12 +145,13 @@ def long_answers(texts: DataFrame, answers: DataFrame, id_column: str, least: in
 
     Any 12 characters contain a whole 6-character block at a multiple of 7, so a text lists every 7th block and an
     answer the pieces of its first 12 characters. Texts whose head matches are then checked against the answers
-    that share the head, held as one array per head.
+    that share the head, held as arrays.
     """
     block, hop, n = least // 2, least // 2 + 1, F.length("text")
-    heads = (answers.where(F.length("answer") >= least).groupBy(F.substring("answer", 1, least).alias("head"))
+    # answers that share a head are dealt over 64 arrays, so that one common beginning makes no unbounded value
+    heads = (answers.where(F.length("answer") >= least).groupBy(F.substring("answer", 1, least).alias("head"), F.pmod(F.xxhash64("answer"), F.lit(64)).alias("_part"))
              .agg(F.collect_set("answer").alias("answers")))
-    pieces = heads.select("head", F.explode(F.sequence(F.lit(0), F.lit(hop - 1))).alias("j")).select(
+    pieces = heads.select("head").distinct().select("head", F.explode(F.sequence(F.lit(0), F.lit(hop - 1))).alias("j")).select(
         "head", "j", F.substring("head", F.col("j") + 1, F.lit(block)).alias("piece"))
     cut = aligned_blocks(texts.where(n >= least), id_column, block, hop, least)
     seen = (cut.join(pieces, "piece").where((F.col("j") <= F.col("lead")) & (F.substring("around", F.col("lead") - F.col("j") + 1, F.lit(least)) == F.col("head")))
@@ -207,9 +218,11 @@ def near_text_locate(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     ``quotes``: (document_id, quote_id, excerpt, preferred_page).
     """
     asked = quotes.select("document_id", "quote_id", "preferred_page", F.posexplode(T.excerpt_queries(F.col("excerpt"))).alias("query_pos", "query"))
-    low, q = F.lower("text"), F.lower("query")
-    hits = ((F.length(low) - F.length(F.replace(low, q, F.lit("")))) / F.length(q)).cast("int")
-    found = asked.join(pages, "document_id").withColumn("_h", hits).where("_h > 0")
+    asked = asked.groupBy("document_id").agg(F.collect_list(F.struct("quote_id", "preferred_page", "query_pos", "query")).alias("_asked"))
+    low = F.col("_low")
+    hits = lambda q: ((F.length(low) - F.length(F.replace(low, q, F.lit("")))) / F.length(q)).cast("int")
+    met = F.filter(F.transform("_asked", lambda x: F.struct(*[x[c].alias(c) for c in ("quote_id", "preferred_page", "query_pos", "query")], hits(F.lower(x["query"])).alias("_h"))), lambda x: x["_h"] > 0)
+    found = pages.join(asked, "document_id").withColumn("_low", F.lower("text")).select("document_id", "page", F.inline(met))
     here = F.col("page") == F.col("preferred_page")
     agg = found.groupBy("document_id", "quote_id", "query_pos").agg(
         F.sum("_h").alias("all_hits"), F.sum(F.when(here, F.col("_h")).otherwise(0)).alias("page_hits"),

@@ -73,22 +73,29 @@ def canonicalize(output: DataFrame, leaves: DataFrame, documents: DataFrame, key
     return J.extraction_normalize(joined, "value_json", J.leaf("type")).drop("_leaf")
 
 
-def unflatten_values(fields: DataFrame, keys: list[str], depth: int = 3, out: str = "value_json") -> DataFrame:
-    """Nested JSON object per key from dotted paths, built bottom-up: one aggregation per level, keys sorted.
+def unflatten_values(fields: DataFrame, keys: list[str], out: str = "value_json") -> DataFrame:
+    """Nested JSON object per key from dotted paths of any depth, keys sorted; one aggregation.
 
-    A document's fields are schema-bounded, so every group is small.
+    A document's fields are schema-bounded, so every group is small. In path order, each field closes the objects that
+    it is not part of and opens those that are new. A path that is both a value and a parent fails the job.
     """
-    rows = fields.select(*keys, F.split("field_path", r"\.").alias("p"), F.col("value_json").alias("v"))
-    for level in range(depth, 0, -1):
-        name = F.when(F.size("p") == level, F.element_at("p", level))
-        head = F.when(F.size("p") == level, F.slice("p", 1, level - 1)).otherwise(F.col("p"))
-        pairs = F.collect_list(F.when(F.col("n").isNotNull(), F.struct("n", "v")))
-        obj = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(pairs), lambda e: F.concat(J.quote(e["n"]), F.lit(":"), e["v"])), ","), F.lit("}"))
-        # Rows that end above this level stay as they are: their path is still unique in the group.
-        rows = (rows.select(*keys, head.alias("p"), name.alias("n"), "v")
-                .groupBy(*keys, "p").agg(obj.alias("_o"), F.max(F.when(F.col("n").isNull(), F.col("v"))).alias("_leaf"))
-                .select(*keys, "p", F.coalesce("_leaf", "_o").alias("v")))
-    return rows.select(*keys, F.col("v").alias(out))
+    parts = F.split("field_path", r"\.")
+    rows = fields.select(*keys, F.struct(parts.alias("p"), F.col("value_json").alias("v")).alias("f")).groupBy(*keys).agg(F.array_sort(F.collect_list("f")).alias("f"))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("text"))
+
+    def put(s, f):
+        up, seen = F.slice(f["p"], F.lit(1), F.size(f["p"]) - 1), s["open"]
+        inside = F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))
+        same = F.size(F.filter(F.transform(up, lambda x, i: F.slice(up, F.lit(1), i + 1) == F.slice(inside, F.lit(1), i + 1)), lambda x: x))
+        clash = (F.size(seen) > 0) & (F.slice(f["p"], F.lit(1), F.size(seen)) == seen)
+        ends = F.repeat(F.lit("}"), F.size(inside) - same)
+        begins = F.array_join(F.transform(F.slice(up, same + 1, F.greatest(F.size(up) - same, F.lit(0))), lambda x: F.concat(J.quote(x), F.lit(":{"))), "")
+        comma = F.when(F.size(seen) > 0, F.lit(",")).otherwise(F.lit(""))
+        line = F.concat(s["text"], ends, comma, begins, J.quote(F.element_at(f["p"], -1)), F.lit(":"), f["v"])
+        guard = F.raise_error(F.concat(F.lit("a value and a parent: "), F.array_join(seen, "."))).cast("string")
+        return F.struct(f["p"].alias("open"), F.when(clash, guard).otherwise(line).alias("text"))
+    end = lambda s: F.concat(F.lit("{"), s["text"], F.repeat(F.lit("}"), F.greatest(F.size(s["open"]) - 1, F.lit(0))), F.lit("}"))
+    return rows.select(*keys, F.aggregate("f", start, put, end).alias(out))
 
 
 def project_schema(leaves: DataFrame, paths: list[str]) -> DataFrame:
@@ -127,8 +134,11 @@ def deep_merge(current: DataFrame, updates: DataFrame, keys: list[str]) -> DataF
     return current.select(*keys, "field_path", "value_json").join(gone, [*keys, "field_path"], "left_anti").unionByName(new)
 
 
-def schema_leaves_table(schemas: DataFrame, max_depth: int = 4) -> DataFrame:
-    """Leaf rows of many stored JSON Schemas: (processor_version_id, field_path, type, format, required)."""
+def schema_leaves_table(schemas: DataFrame, max_depth: int = 12) -> DataFrame:
+    """Leaf rows of many stored JSON Schemas: (processor_version_id, field_path, type, format, required).
+
+    Levels are narrow steps of one pass; a schema nested deeper than ``max_depth`` fails the job instead of being cut.
+    """
     key = "processor_version_id"
     cur = schemas.select(key, F.lit("").alias("field_path"), F.col("schema_json").alias("v"), F.lit(False).alias("required"))
     for _ in range(max_depth):
@@ -141,5 +151,7 @@ def schema_leaves_table(schemas: DataFrame, max_depth: int = 4) -> DataFrame:
                 .otherwise(F.concat_ws(".", "field_path", "m.key")))
         cur = cur.select(key, path.alias("field_path"), F.col("m.value").alias("v"),
                          F.when(F.col("m.key").isNull(), F.col("required")).otherwise(F.coalesce(F.array_contains("_req", F.col("m.key")), F.lit(False))).alias("required"))
+    deeper = J.text(J.member(F.col("v"), "type")) == "object"
+    cur = cur.where(F.when(deeper, F.raise_error(F.lit(f"schema nested deeper than {max_depth} levels")).cast("boolean")).otherwise(F.lit(True)))
     return cur.where("field_path <> ''").select(key, "field_path", J.text(J.member(F.col("v"), "type")).alias("type"),
                                                 J.text(J.member(F.col("v"), "format")).alias("format"), "required")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonvals as J, text as T
-from ..schema import ScoringConfig
+from ..schema import ScoringConfig, has_arrays
 from .ranking import nearest_rank
 from .validate import staged_errors, with_leaf
 
@@ -55,12 +55,15 @@ def annotated_paths(truth: DataFrame, leaves: DataFrame, config: ScoringConfig =
 
 def unscored_documents(extractions: DataFrame, truth: DataFrame, leaves: DataFrame,
                        config: ScoringConfig = ScoringConfig()) -> DataFrame:
-    """(run_id, document_id, reason) for extractions without a usable verified annotation."""
+    """(run_id, document_id, reason) for extractions without a usable verified annotation.
+
+    With hallucinations included, any verified annotation makes a document usable: its predicted paths are scored.
+    """
     known = leaves.select("field_path", F.lit(True).alias("known"))
     per_doc = (truth.join(known, "field_path", "left").groupBy("document_id")
                .agg(F.bool_or(F.coalesce(F.col("annotation_status"), F.lit("complete")) == "unverified").alias("unverified"),
                     F.count_if(F.col("known")).alias("n_known")))
-    usable = F.lit(bool(config.required_fields)) | (F.col("n_known") > 0)
+    usable = F.lit(bool(config.required_fields) or config.include_hallucinations) | (F.col("n_known") > 0)
     reason = (F.when(F.col("unverified"), "ground_truth_unverified")
               .when(F.col("unverified").isNull() | ~usable, "ground_truth_missing"))
     return (extractions.select(*KEY).join(per_doc, "document_id", "left")
@@ -68,8 +71,16 @@ def unscored_documents(extractions: DataFrame, truth: DataFrame, leaves: DataFra
 
 
 def pair_fields(truth_paths: DataFrame, predictions: DataFrame, extractions: DataFrame | None = None) -> DataFrame:
-    """One row per (run, document, scored path) with its prediction, absent predictions included."""
-    docs = (extractions if extractions is not None else predictions).select(*KEY).distinct()
+    """One row per (run, document, scored path) with its prediction, absent predictions included.
+
+    ``extractions`` says which documents each run has processed. Without it, every run is taken to have processed every
+    document of the truth: a document without predictions is then a document of missing fields.
+    """
+    if extractions is not None:
+        docs = extractions.select(*KEY).distinct()
+    else:
+        runs = predictions.agg(F.collect_set("run_id").alias("_runs"))  # one row; runs are few
+        docs = truth_paths.select("document_id").distinct().crossJoin(F.broadcast(runs)).select(F.explode("_runs").alias("run_id"), "document_id")
     wanted = docs.join(truth_paths, "document_id")
     cols = [c for c in ("value_json", "normalized_json", "confidence") if c in predictions.columns]
     got = predictions.select(*KEY, "field_path", *cols)
@@ -79,7 +90,7 @@ def pair_fields(truth_paths: DataFrame, predictions: DataFrame, extractions: Dat
 def classify(pairs: DataFrame, leaves: DataFrame, config: ScoringConfig = ScoringConfig()) -> DataFrame:
     """Status, match type, score and validation errors of every pair."""
     normalized = F.col("normalized_json") if "normalized_json" in pairs.columns else F.lit(None).cast("string")
-    tolerant, arrays = config.numeric_tolerance is not None, not config.scalar_schema
+    tolerant, arrays = config.numeric_tolerance is not None, has_arrays(leaves)
     df = with_leaf(pairs, leaves)
     df = J.stage(df, F.col("expected_json"), "_e", tolerant, arrays)
     df = J.stage(df, F.when(~J.is_null(normalized), normalized).otherwise(F.col("value_json")), "_a", tolerant, arrays)

@@ -30,9 +30,9 @@ def docmeta(v):
 
 
 @query("failure_filter", sql(f"""SELECT s.document_id, s.status, s.actual_json, x.extraction_id, x.latency_ms, x.cost_usd FROM {S0} s JOIN extractions0 x USING (document_id)
- WHERE s.status = 'incorrect' AND s.field_path = 'currency'""", S0, "extractions0"))
+ WHERE s.status = 'incorrect' AND s.field_path = 'total'""", S0, "extractions0"))
 def _(v):
-    f = K.failure_filter(scored(v), v.extractions(0), "incorrect", "currency")
+    f = K.failure_filter(scored(v), v.extractions(0), "incorrect", "total")
     return f.select("document_id", "status", "actual_json", "extraction_id", "latency_ms", "cost_usd")
 
 

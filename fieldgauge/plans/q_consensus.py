@@ -47,7 +47,7 @@ def line_tables(v):
     row = lambda e: F.concat(F.lit('{"sku":'), e["sku"].cast("string"), F.lit(',"qty":'), e["qty"].cast("int").cast("string"), F.lit("}"))
     t = (v.table("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_quantity").alias("qty")).groupBy("l_orderkey")
          .agg(F.array_sort(F.collect_list(F.struct(F.col("l_partkey").alias("sku"), "qty"))).alias("rows")))
-    short = F.when(F.col("l_orderkey") % 4 == 0, F.slice("rows", 2, 1000000)).otherwise(F.col("rows"))
+    short = F.when(F.col("l_orderkey") % 4 == 0, F.slice("rows", F.lit(2), F.size("rows"))).otherwise(F.col("rows"))
     tables = [F.col("rows"), F.reverse("rows"), short]
     json = [F.concat(F.lit("["), F.array_join(F.transform(x, row), ","), F.lit("]")) for x in tables]
     cells = F.array(*[F.struct(F.lit(i).alias("branch"), j.alias("value_json")) for i, j in enumerate(json)])

@@ -4,26 +4,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import diagnose as D
-from .q_scoring import S0, scored
+from .q_scoring import S0, S1, scored
 from .registry import query
 from .sql import CTES, canon, sql
 
 
-@query("top_failing_fields", sql(f"""SELECT *, CAST(row_number() OVER (ORDER BY failed DESC, field_path) AS INTEGER) AS field_rank FROM (SELECT field_path, count(*) AS scored, count(*) FILTER (status <> 'correct') AS failed,
- min(document_id) FILTER (status = 'correct') AS control_document_id FROM {S0} GROUP BY 1) WHERE failed > 0""", S0))
+@query("top_failing_fields", sql(f"""SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY failed DESC, field_path) AS INTEGER) AS field_rank FROM (SELECT run_id, field_path, count(*) AS scored, count(*) FILTER (status <> 'correct') AS failed,
+ min(document_id) FILTER (status = 'correct') AS control_document_id, arg_min(expected_json, document_id) FILTER (status = 'correct') AS control_expected FROM (FROM {S0} UNION ALL FROM {S1}) GROUP BY 1, 2) WHERE failed > 0""", S0, S1))
 def _(v):
-    return D.top_failing_fields(scored(v))
+    return D.top_failing_fields(scored(v).unionByName(scored(v, 1))).drop("control_actual")
 
 
-CTES["bad"] = ((S0,), f"SELECT field_path, status, coalesce({canon('expected_json')}, 'null') AS expected, coalesce({canon('actual_json')}, 'null') AS actual, document_id FROM {S0} WHERE status <> 'correct'")
+CTES["bad"] = ((S0,), f"SELECT run_id, field_path, status, coalesce({canon('expected_json')}, 'null') AS expected, coalesce({canon('actual_json')}, 'null') AS actual, document_id FROM {S0} WHERE status <> 'correct'")
 
 
-@query("failure_patterns", sql("""SELECT field_path, CAST(pattern_rank AS INTEGER) AS pattern_rank, pattern_count, status, expected, actual, n AS count, ex AS examples FROM (
- SELECT *, row_number() OVER (PARTITION BY field_path ORDER BY n DESC, first_document, status, expected, actual) AS pattern_rank, count(*) OVER (PARTITION BY field_path) AS pattern_count FROM (
- SELECT field_path, status, expected, actual, count(*) AS n, min(document_id) AS first_document, array_to_string(list_sort(list(document_id))[1:2], ',') AS ex FROM bad GROUP BY 1, 2, 3, 4)) WHERE pattern_rank <= 4""", "bad"))
+@query("failure_patterns", sql("""SELECT run_id, field_path, CAST(pattern_rank AS INTEGER) AS pattern_rank, pattern_count, status, expected, actual, n AS count, ex AS examples FROM (
+ SELECT *, row_number() OVER (PARTITION BY run_id, field_path ORDER BY n DESC, first_document, status, expected, actual) AS pattern_rank, count(*) OVER (PARTITION BY run_id, field_path) AS pattern_count FROM (
+ SELECT run_id, field_path, status, expected, actual, count(*) AS n, min(document_id) AS first_document, array_to_string(list_sort(list(document_id))[1:2], ',') AS ex FROM bad GROUP BY 1, 2, 3, 4, 5)) WHERE pattern_rank <= 4""", "bad"))
 def _(v):
     out = D.failure_patterns(scored(v))
-    return out.select("field_path", "pattern_rank", "pattern_count", "status", "expected", "actual", "count", F.array_join("examples", ",").alias("examples"))
+    return out.select("run_id", "field_path", "pattern_rank", "pattern_count", "status", "expected", "actual", "count", F.array_join("examples", ",").alias("examples"))
 
 
 CTES["page_text"] = (("blocks",), r"""SELECT document_id, page, trim(regexp_replace(string_agg(text, ' ' ORDER BY source_index), '\s+', ' ', 'g')) AS text FROM blocks GROUP BY 1, 2""")
@@ -78,9 +78,9 @@ def _(v):
     return D.contamination_shingles(v.table("documents"), v.table("benchmark"), id_column="doc_id")
 
 
-@query("contamination_answers", "SELECT doc_id, 'expected_answer' AS kind FROM documents WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT substr(text, 1, 25) AS a FROM benchmark) b WHERE contains(text, a))")
+@query("contamination_answers", "SELECT doc_id, 'expected_answer' AS kind FROM documents WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT text AS a FROM benchmark WHERE length(text) >= 12) b WHERE contains(documents.text, a))")
 def _(v):
-    return D.long_answers(v.table("documents"), v.table("benchmark").select(F.substring("text", 1, 25).alias("answer")), "doc_id")
+    return D.long_answers(v.table("documents"), v.table("benchmark").select(F.col("text").alias("answer")), "doc_id")
 
 
 @query("suggest_experiments", sql(f"""SELECT field_path, CAST(scored_documents AS BIGINT) AS scored_documents, CAST(failing_documents AS BIGINT) AS failing_documents, dominant, CAST(rank AS INTEGER) AS rank,
@@ -125,9 +125,18 @@ def _(v):
     return D.review_assignment_queue(e.drop("user_id"), members, status="click").select("dataset_id", "document_id", "reviewer", "status")
 
 
-@query("near_text_locate", sql(r"""SELECT document_id, page FROM (SELECT document_id, sum(h) AS all_hits, coalesce(sum(h) FILTER (page = 1), 0) AS page_hits, coalesce(min(page) FILTER (page = 1), min(page)) AS page FROM (
- SELECT p.document_id, p.page, (length(p.text) - length(replace(lower(p.text), lower(n.needle), '')))//length(n.needle) AS h FROM page_text p JOIN (SELECT document_id, trim(regexp_replace(replace(replace(needle, '...', ' '), '…', ' '), '\s+', ' ', 'g')) AS needle FROM needles WHERE needle_rank = 1) n USING (document_id) WHERE n.needle <> '') WHERE h > 0 GROUP BY 1)
- WHERE page_hits = 1 OR (page_hits = 0 AND all_hits = 1)""", "page_text", "needles"))
+CTES["quotes"] = ((), r"""SELECT document_id, array_to_string(w[5:17], ' ') || ' unseen words' AS excerpt FROM (
+ SELECT 'd' || doc_id AS document_id, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM documents) WHERE len(w) >= 20""")
+
+
+@query("near_text_locate", sql(r"""SELECT document_id, CAST(query_pos AS INTEGER) AS query_pos, query, page FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY query_pos) AS rn FROM (
+ SELECT document_id, query_pos, query, sum(h) AS all_hits, coalesce(sum(h) FILTER (page = 1), 0) AS page_hits, coalesce(min(page) FILTER (page = 1), min(page)) AS page FROM (
+ SELECT q.*, p.page, (length(p.text) - length(replace(lower(p.text), lower(q.query), '')))//length(q.query) AS h FROM page_text p JOIN (
+ SELECT document_id, query, row_number() OVER (PARTITION BY document_id ORDER BY min(i)) - 1 AS query_pos FROM (SELECT document_id, unnest(l) AS query, unnest(range(len(l))) AS i FROM (
+ SELECT document_id, list_concat([t], list_filter(regexp_split_to_array(t, '[;.!?]\s+'), lambda x: len(regexp_split_to_array(x, '\s+')) >= 6), [array_to_string(w[1:10], ' '), array_to_string(w[len(w)-9:len(w)], ' ')]) AS l
+ FROM (SELECT document_id, t, string_split(t, ' ') AS w FROM (SELECT document_id, trim(regexp_replace(regexp_replace(replace(excerpt, '…', ' '), '\.{3,}', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM quotes)))) GROUP BY 1, 2 QUALIFY query_pos < 8) q USING (document_id))
+ WHERE h > 0 GROUP BY 1, 2, 3) WHERE page_hits = 1 OR (page_hits = 0 AND all_hits = 1)) WHERE rn = 1""", "page_text", "quotes"))
 def _(v):
-    quotes = requests(v).where("needle_rank = 1").select("document_id", F.lit(1).alias("quote_id"), F.col("needle").alias("excerpt"), F.lit(1).alias("preferred_page"))
-    return D.near_text_locate(quotes, pages(v)).where("query_pos = 0").select("document_id", "page")
+    w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
+    quotes = v.docs.where(F.size(w) >= 20).select("document_id", F.lit(1).alias("quote_id"), F.concat(F.array_join(F.slice(w, 5, 13), " "), F.lit(" unseen words")).alias("excerpt"), F.lit(1).alias("preferred_page"))
+    return D.near_text_locate(quotes, pages(v)).select("document_id", "query_pos", "query", "page")

@@ -113,15 +113,15 @@ def confidence_provenance(confidence, source):
     return provenance(confidence, source)
 
 
-@query("title_key", r"""SELECT doc_id, trim(regexp_replace(trim(replace(replace(replace(lower(nfc_normalize(t)), 'ß', 'ss'), '&', '_'), '''', '_')), '-+$', '')) AS out FROM (SELECT doc_id, substr(text, 1, 60) || ' & Co''s-- ' AS t FROM documents)""")
+@query("title_key", r"""SELECT doc_id, trim(regexp_replace(trim(replace(replace(replace(lower(nfc_normalize(t)), 'ß', 'ss'), '&', '_'), '''', '_')), '-+$', '')) AS out FROM (SELECT doc_id, text || ' & Co''s-- ' AS t FROM documents)""")
 def _(v):
-    t = F.concat(F.substring("text", 1, 60), F.lit(" & Co's-- "))
+    t = F.concat("text", F.lit(" & Co's-- "))
     return v.table("documents").select("doc_id", T.title_key(t).alias("out"))
 
 
-@query("column_key", r"""SELECT doc_id, replace(lower(regexp_replace(substr(text, 1, 80), '\s+', '', 'g')), 'ß', 'ss') AS out FROM documents""")
+@query("column_key", r"""SELECT doc_id, replace(lower(regexp_replace(text, '\s+', '', 'g')), 'ß', 'ss') AS out FROM documents""")
 def _(v):
-    return v.table("documents").select("doc_id", T.column_key(F.substring("text", 1, 80)).alias("out"))
+    return v.table("documents").select("doc_id", T.column_key(F.col("text")).alias("out"))
 
 
 @query("compact_text")
@@ -182,10 +182,11 @@ def _(v):
     return v.table("benchmark").select("item_id", (F.size(q) >= 1).cast("int").alias("queries"), F.get(q, F.lit(0)).alias("first_query"))
 
 
-@query("value_needle", sql("SELECT k, CAST(a AS VARCHAR) AS needle FROM (SELECT o_orderkey AS k, CASE o_orderkey%3 WHEN 0 THEN o_orderstatus WHEN 1 THEN CAST(o_custkey AS VARCHAR) ELSE NULL END AS a FROM orders)"))
+@query("value_needle", sql("SELECT k, CAST(a AS VARCHAR) AS needle FROM (SELECT o_orderkey AS k, CASE WHEN o_orderkey%3 = 0 THEN o_orderstatus WHEN o_orderkey%3 = 1 THEN CAST(o_custkey AS VARCHAR) WHEN o_orderkey%6 = 2 THEN 'deep ' || o_orderpriority ELSE NULL END AS a FROM orders)"))
 def _(v):
     k = F.col("o_orderkey")
     j = (F.when(k % 3 == 0, F.concat(F.lit('[{"a": "", "b": null}, {"c": ["'), F.col("o_orderstatus"), F.lit('"]}]'))).when(k % 3 == 1, F.concat(F.lit('{"a": [], "n": '), F.col("o_custkey").cast("string"), F.lit("}")))
+         .when(k % 6 == 2, F.concat(F.lit('{"z": {"y": {"x": [{"w": {"v": "", "u": "deep '), F.col("o_orderpriority"), F.lit('"}}]}}, "a": "later"}')))
          .otherwise('{"a": [{"b": ""}]}'))
     return v.table("orders").select(k.alias("k"), J.value_needle(j).alias("needle"))
 

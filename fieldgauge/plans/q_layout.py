@@ -14,9 +14,14 @@ CTES["lines"] = ((), rf"""SELECT document_id, i, n, line FROM (SELECT document_i
  SELECT 'd' || doc_id AS document_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS l FROM documents))""")
 
 
-@query("page_line_blocks", sql("""SELECT document_id, 1 AS page, 'p1-b' || (i + 1) AS block_id, line AS text, CAST(i AS BIGINT) AS source_index FROM lines""", "lines"))
+CTES["paged_lines"] = ((), rf"""SELECT document_id, page, unnest(l) AS line, unnest(range(len(l))) AS i FROM (SELECT document_id, page, list_filter(list_transform(regexp_split_to_array(t, '\r\n|[\n\r\x0b\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {STRIP.format('x')}), lambda x: x <> '') AS l FROM (
+ SELECT document_id, unnest(p) AS t, unnest(range(1, len(p) + 1)) AS page FROM (SELECT 'd' || doc_id AS document_id, string_split(text || chr(12) || 'Annex ' || doc_id || chr(10) || text, chr(12)) AS p FROM documents)))""")
+
+
+@query("page_line_blocks", sql("""SELECT document_id, CAST(page AS INTEGER) AS page, 'p' || page || '-b' || (i + 1) AS block_id, line AS text, CAST(i AS BIGINT) AS source_index FROM paged_lines""", "paged_lines"))
 def _(v):
-    b = L.page_line_blocks(v.docs.where(~F.contains("text", F.lit("\f"))))
+    two = F.concat("text", F.lit("\fAnnex "), F.substring("document_id", 2, 20), F.lit("\n"), F.col("text"))
+    b = L.page_line_blocks(v.docs.withColumn("text", two))
     return b.select("document_id", "page", "block_id", "text", F.col("source_index").cast("long").alias("source_index"))
 
 

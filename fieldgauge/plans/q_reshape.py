@@ -65,7 +65,7 @@ def _(v):
 @query("unflatten_values", sql("""SELECT document_id, '{"customer":{"id":' || max(value_json) FILTER (field_path = 'customer.id') || ',"note":' || max(value_json) FILTER (field_path = 'customer.note') || ',"tags":' || max(value_json) FILTER (field_path = 'customer.tags')
  || '},"status":' || max(value_json) FILTER (field_path = 'status') || ',"total":' || max(value_json) FILTER (field_path = 'total') || '}' AS value_json FROM flat GROUP BY 1""", "flat"))
 def _(v):
-    return R.unflatten_values(R.flatten_values(nested(v), ["document_id"], "value", 2), ["document_id"], 2)
+    return R.unflatten_values(R.flatten_values(nested(v), ["document_id"], "value", 2), ["document_id"])
 
 
 @query("project_schema", sql("SELECT document_id, field_path, value_json FROM truth WHERE field_path IN ('total', 'customer.name')", "truth"))

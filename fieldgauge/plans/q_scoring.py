@@ -1,8 +1,6 @@
 """Queries: scoring, run metrics, comparison."""
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from ..operators import compare as C, scoring as S
@@ -27,7 +25,6 @@ RATES = ("field_accuracy", "precision", "recall", "field_completeness")
 
 
 def scored(v, r=0, config=ScoringConfig()):
-    config = replace(config, scalar_schema=True)
     return S.score_fields(v.truth, v.pred(r), v.leaves, config, v.extractions(r))
 
 

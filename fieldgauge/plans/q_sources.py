@@ -128,17 +128,19 @@ def _(v):
     return M.manifest_import(e, v.members).select("document_id", "filename", "split", F.array_join("tags", ",").alias("tags"), "error")
 
 
-@query("qa_benchmark_load", """SELECT 'doc ' || doc_id AS title, c AS category, c = 'Two' AS is_impossible, CASE WHEN c = 'One' THEN substr(text, 1, 10) END AS answer, CASE WHEN c = 'One' THEN 0 END AS answer_start FROM documents CROSS JOIN (VALUES ('One'),('Two')) x(c)""")
+@query("qa_benchmark_load", """SELECT 'doc ' || doc_id AS title, 'One' AS category, false AS is_impossible, substr(text, CAST(o + 1 AS INTEGER), 40) AS answer, CAST(o AS INTEGER) AS answer_start FROM documents, (VALUES (0), (1), (2)) x(k), LATERAL (SELECT k * (length(text)//3) AS o)
+ UNION ALL SELECT 'doc ' || doc_id, 'Two', true, NULL, NULL FROM documents""")
 def _(v):
     path = work_path(v.spark, "qa")
     t = F.concat(F.lit("doc "), F.col("doc_id").cast("string"))
     qa = lambda c, a: F.struct(F.concat(t, F.lit("__" + c)).alias("id"), F.lit(c + "?").alias("question"), F.lit(c == "Two").alias("is_impossible"), a.alias("answers"))
-    one = F.array(F.struct(F.substring("text", 1, 10).alias("text"), F.lit(0).alias("answer_start")))
+    third = F.floor(F.length("text") / 3).cast("int")
+    one = F.array(*[F.struct(F.substring("text", third * k + 1, F.lit(40)).alias("text"), (third * k).alias("answer_start")) for k in range(3)])
     none = F.filter(one, lambda x: F.lit(False))
     d = v.table("documents").select(F.array(F.struct(t.alias("title"), F.array(F.struct(F.col("text").alias("context"), F.array(qa("One", one), qa("Two", none)).alias("qas"))).alias("paragraphs"))).alias("data"))
     d.write.json(path)
     qas = A.qa_benchmark_load(v.spark, path, lines=True)
-    return qas.select("title", "category", "is_impossible", F.get("answers", F.lit(0))["text"].alias("answer"), F.get("answers", F.lit(0))["answer_start"].alias("answer_start"))
+    return qas.select("title", "category", "is_impossible", F.explode_outer("answers").alias("a")).select("title", "category", "is_impossible", F.col("a.text").alias("answer"), F.col("a.answer_start").cast("int").alias("answer_start"))
 
 
 @query("qa_benchmark_match", sql("""SELECT title, CASE WHEN n%9 = 0 OR n%11 = 0 THEN 'no exact normalized file or row match' WHEN title <> first THEN 'duplicate content' END AS reason FROM (

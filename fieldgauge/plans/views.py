@@ -28,12 +28,8 @@ class Views:
         self.spark, self.sf_dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        """A given table. One read as fewer files than there are cores is spread before rows are multiplied."""
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in ("orders", "lineitem", "documents") and len(df.inputFiles()) < cores:
-            return df.repartition(cores)
-        return df
+        """A given table, read with Spark's own partition settings."""
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
     def leaves(self) -> DataFrame:

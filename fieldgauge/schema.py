@@ -19,7 +19,6 @@ class ScoringConfig:
     edit_distance_max: int = 0
     required_fields: tuple[str, ...] = ()
     include_hallucinations: bool = False
-    scalar_schema: bool = False  # declare that no leaf is an array: scoring then stays in compiled code
 
 
 def _valid_regex(pattern):
@@ -53,6 +52,12 @@ def leaf_rows(schema: dict, prefix: str = "", required: bool = False) -> list[di
             for row in leaf_rows(child, f"{prefix}.{key}" if prefix else key, key in wanted)]
 
 
+def has_arrays(leaves: DataFrame) -> bool:
+    """Does the schema have array leaves? Without them scoring stays in compiled code. Leaves are schema-sized."""
+    known = getattr(leaves, "_has_arrays", None)
+    return not leaves.where("type = 'array'").isEmpty() if known is None else known
+
+
 def schema_leaves(spark: SparkSession, schema: dict) -> DataFrame:
     """The leaf dimension of a schema. Its size is that of the schema document, so joins to it broadcast."""
     rows = []
@@ -61,4 +66,6 @@ def schema_leaves(spark: SparkSession, schema: dict) -> DataFrame:
     # A literal table: its size is known to the optimizer, unlike that of a parallelized list.
     literal = json.dumps(rows, ensure_ascii=False)
     parsed = F.from_json(F.lit(literal), f"array<struct<{LEAF_FIELDS}>>")
-    return spark.range(1).select(F.inline(parsed))
+    leaves = spark.range(1).select(F.inline(parsed))
+    leaves._has_arrays = any(r["type"] == "array" for r in rows)
+    return leaves

@@ -1,13 +1,13 @@
 """Incremental and streaming jobs: arrivals, caching, resume, progress, exactly-once scoring."""
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.ranking import latest
 from ..operators.scoring import score_fields
 from ..schema import ScoringConfig
 
+# Fixed values of the cache contract.
 CONTRACT = {"cache_schema": "4", "response_contract": "field-confidence-evidence-v2"}
 
 
@@ -48,36 +48,56 @@ def change_revision(changes: DataFrame) -> DataFrame:
 
 
 def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    """The table, or None if its folder does not exist yet. Any other trouble in reading it is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return None
+    return spark.read.parquet(path)
+
+
+def _put(df: DataFrame, table: str, batch_id: int, *also: str) -> None:
+    """Write a batch's rows to its own partitions, so that a retried batch replaces itself."""
+    (df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*also, "batch").parquet(table))
 
 
 def stream_ingest_dedup(arrivals: DataFrame, table: str, checkpoint: str):
-    """Append arriving documents whose content hash is new, for all time.
+    """Append arriving documents whose content hash is new, for all time; late arrivals are arrivals like any other.
 
-    A watermarked prefilter drops close repeats; each batch is then reduced by hash and anti-joined with the
-    table. A batch is written to its own partition, so a retried batch replaces itself.
+    A batch is reduced to the earliest document of each hash and anti-joined with the table, which is divided by the
+    first two digits of the hash: only the divisions that the batch touches are read.
     """
-    prefiltered = arrivals.withWatermark("created_at", "1 hour").dropDuplicatesWithinWatermark(["sha256"])
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = latest(batch, ["sha256"], -F.unix_micros("created_at"))
-        known = _read_or_none(spark, table)
+        fresh = latest(batch, ["sha256"], -F.unix_micros("created_at")).withColumn("part", F.substring("sha256", 1, 2))
+        known = _read_or_none(batch.sparkSession, table)
         if known is not None:
-            fresh = fresh.join(known.where(F.col("batch") != batch_id).select("sha256"), "sha256", "left_anti")
-        (fresh.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch").parquet(table))
-    return prefiltered.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most 256
+            seen = known.where(F.col("part").isin(parts) & (F.col("batch") != batch_id)).select("sha256")
+            fresh = fresh.join(seen, "sha256", "left_anti")
+        _put(fresh, table, batch_id, "part")
+    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def incremental_scoring(predictions: DataFrame, truth: DataFrame, leaves: DataFrame, table: str, checkpoint: str,
                         config: ScoringConfig = ScoringConfig()):
-    """Score landing predictions exactly once: a batch's rows overwrite only that batch's partition."""
+    """Score landing predictions; a document whose fields land in several batches is scored again, whole, each time.
+
+    A row with a null ``field_path`` says that a document was processed; with it, a document without any prediction is
+    scored too. Landed rows are kept beside the table; ``current_scores`` reads each document's last scoring.
+    """
+    landed = f"{table}-landed"
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        scored = score_fields(truth, batch, leaves, config)
-        (scored.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch").parquet(table))
+        spark = batch.sparkSession
+        _put(batch, landed, batch_id)
+        rows = spark.read.parquet(landed).where(F.col("batch") <= batch_id)
+        touched = rows.where(F.col("batch") == batch_id).select("run_id", "document_id").distinct()
+        whole = rows.join(touched, ["run_id", "document_id"], "left_semi").drop("batch")
+        _put(score_fields(truth, whole.where("field_path IS NOT NULL"), leaves, config, touched), table, batch_id)
     return predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_scores(scored: DataFrame) -> DataFrame:
+    """Rows of each document's last scoring."""
+    last = scored.groupBy("run_id", "document_id").agg(F.max("batch").alias("batch"))
+    return scored.join(last, ["run_id", "document_id", "batch"], "left_semi").drop("batch")
