@@ -31,12 +31,14 @@ CLASSES, HIDDEN, WINDOW, LANES, PIECE = 64, 16, 32, 256, 1024
 
 def class_sequences(texts):
     """For some texts at a time: word hashes, word classes (1 to CLASSES - 1), and each text's first word and the end."""
-    for w in words(texts, group_bytes=24_000_000):
+    for w in words(texts, group_bytes=8_000_000):
         code = np.zeros(len(w.end), np.uint64)
         for back in (1, 2, 3):
             at = w.end - back
             code = code * np.uint64(257) + np.where(at >= w.start, w.data[np.maximum(at, 0)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-        yield w.hash, (mixed(code) % np.uint64(CLASSES - 1) + np.uint64(1)).astype(np.uint8), w.word_at
+        found = w.hash, (mixed(code) % np.uint64(CLASSES - 1) + np.uint64(1)).astype(np.uint8), w.word_at
+        del w, code, at  # the bytes and places are not needed while the caller works
+        yield found
 
 
 @dataclass
@@ -196,7 +198,7 @@ def class_scores(net: Net, classes: np.ndarray, word_at: np.ndarray, prior: np.n
     if len(word_at) < 2:
         return np.zeros(0)
     inputs, targets, starts, active, lane, begin = lanes_of(classes, word_at)
-    state, total = np.zeros((inputs.shape[1], HIDDEN), np.float32), np.zeros((len(inputs) + 1, inputs.shape[1]))
+    state, total = np.zeros((inputs.shape[1], HIDDEN), np.float32), np.zeros((len(inputs) + 1, inputs.shape[1]))  # as many numbers as words, as lanes are full
     for t in range(0, len(inputs), WINDOW):
         part = slice(t, t + WINDOW)
         states, _ = _forward(net, inputs[part], starts[part], active[part], state, False)
