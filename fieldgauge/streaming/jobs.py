@@ -65,10 +65,10 @@ def stream_ingest_dedup(arrivals: DataFrame, table: str, checkpoint: str):
     """Append arriving documents whose content hash is new, for all time; late arrivals are arrivals like any other.
 
     A batch is reduced to the earliest document of each hash and anti-joined with the table, which is divided by the
-    first two digits of the hash: only the divisions that the batch touches are read.
+    first two digits of the hash (after an h, so that Spark reads them as text): only the divisions that the batch touches are read.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = latest(batch, ["sha256"], -F.unix_micros("created_at")).withColumn("part", F.substring("sha256", 1, 2))
+        fresh = latest(batch, ["sha256"], -F.unix_micros("created_at")).withColumn("part", F.concat(F.lit("h"), F.substring("sha256", 1, 2)))
         known = _read_or_none(batch.sparkSession, table)
         if known is not None:
             parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most 256
