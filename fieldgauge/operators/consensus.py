@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonvals as J, text as T
+from ..schema import leaf_grid
 from .reshape import merge_scoped
 from .validate import assess_acceptance, validate_required, with_errors, with_leaf
 
@@ -52,6 +53,26 @@ def majority_vote(candidates: DataFrame, leaves: DataFrame, documents: DataFrame
     v = F.col("value_json")
     signature = F.when(J.kind(v) == "array", J.table_signature(v, key)).otherwise(J.vote_normalize(v, F.lit(case_insensitive), F.lit(numeric_strings)))
     staged = J.sealed(valid, ["document_id", "field_path", "branch", "value_json", "confidence"], [signature.alias("sig")])
+    voted = _counted(staged, branches, quorum) if float(tolerance) == 0 and quorum > 1 else _folded(staged, branches, quorum, tolerance)
+    grid = leaf_grid(documents, ["document_id"], leaves, "field_path", "type")
+    message = F.when(F.col("type") == "array", "No majority consensus; array fields require a row key").otherwise("No majority consensus")
+    votes = F.coalesce("votes", F.lit(0))
+    return grid.join(voted, DF, "left").select(
+        *DF, "value_json", "confidence", votes.cast("int").alias("votes"),
+        F.when(votes > 0, votes / F.lit(float(branches))).alias("agreement"), F.when(votes == 0, message).alias("error"))
+
+
+def _counted(staged: DataFrame, branches: int, quorum: int) -> DataFrame:
+    """Exact votes: equal values are counted map-side; the first branch of the one group that reaches the quorum speaks for it."""
+    groups = (staged.where(F.col("sig").isNotNull()).groupBy(*DF, "sig")
+              .agg(F.count(F.lit(1)).alias("votes"), F.min_by(F.struct("value_json", "confidence"), "branch").alias("_x")).where(F.col("votes") >= quorum))
+    if 2 * quorum <= branches:  # more than one group may reach it
+        groups = groups.groupBy(*DF).agg(F.count(F.lit(1)).alias("_n"), F.first("votes").alias("votes"), F.first("_x").alias("_x")).where("_n = 1")
+    return groups.select(*DF, "votes", "_x.value_json", "_x.confidence")
+
+
+def _folded(staged: DataFrame, branches: int, quorum: int, tolerance: str) -> DataFrame:
+    """Votes with a tolerance: a cell's candidates, one for each branch, are folded into groups in branch order."""
     item = F.struct(F.col("branch"), F.col("sig"), J.number(F.col("sig")).alias("num"), F.col("value_json"), F.col("confidence"))
     grouped = _by_branch(staged, branches, item, DF)
     limit = F.lit(str(tolerance)).cast("decimal(38,10)")
@@ -67,15 +88,9 @@ def majority_vote(candidates: DataFrame, leaves: DataFrame, documents: DataFrame
             F.transform(groups, lambda g, i: F.when(i + 1 == at, F.concat(g, F.array(x))).otherwise(g)))
     empty = F.filter(F.array(F.col("_items")), lambda g: F.lit(False))
     won = F.filter(F.aggregate("_items", empty, add), lambda g: F.size(g) >= quorum)
-    voted = grouped.select(*DF, F.when(F.size(won) == 1, F.get(won, F.lit(0))).alias("_w"))
-    grid = documents.select("document_id").crossJoin(F.broadcast(leaves.select("field_path", F.col("type").alias("_t"))))
+    voted = grouped.select(*DF, F.when(F.size(won) == 1, F.get(won, F.lit(0))).alias("_w")).where("_w IS NOT NULL")
     first = F.get(F.col("_w"), F.lit(0))
-    message = F.when(F.col("_t") == "array", "No majority consensus; array fields require a row key").otherwise("No majority consensus")
-    votes = F.coalesce(F.size("_w"), F.lit(0))
-    votes = F.when(F.col("_w").isNull(), 0).otherwise(votes)
-    return grid.join(voted, DF, "left").select(
-        *DF, first["value_json"].alias("value_json"), first["confidence"].alias("confidence"), votes.alias("votes"),
-        F.when(votes > 0, votes / F.lit(float(branches))).alias("agreement"), F.when(votes == 0, message).alias("error"))
+    return voted.select(*DF, F.size("_w").alias("votes"), first["value_json"].alias("value_json"), first["confidence"].alias("confidence"))
 
 
 def merge_changes(candidates: DataFrame, branches: int, current: DataFrame | None = None,

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonvals as J, text as T
+from ..schema import leaf_grid
 from .validate import with_leaf
 
 NONE = "array<struct<key:string,value:string>>"
@@ -66,8 +67,7 @@ def canonicalize(output: DataFrame, leaves: DataFrame, documents: DataFrame, key
 
     Paths outside the schema are dropped.
     """
-    dim = leaves.agg(F.collect_list("field_path").alias("_paths"))
-    grid = documents.select(*keys).crossJoin(F.broadcast(dim)).select(*keys, F.explode("_paths").alias("field_path"))
+    grid = leaf_grid(documents, keys, leaves, "field_path")
     have = [c for c in output.columns if c not in (*keys, "field_path", "normalized_json")]
     joined = with_leaf(grid.join(output.select(*keys, "field_path", *have), [*keys, "field_path"], "left"), leaves)
     return J.extraction_normalize(joined, "value_json", J.leaf("type")).drop("_leaf")

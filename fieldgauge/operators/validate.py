@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonvals as J, text as T
+from ..schema import leaf_grid
 
 
 def _typed(v: Column, type_: Column) -> Column:
@@ -79,9 +80,8 @@ def validate_fields(predictions: DataFrame, leaves: DataFrame, value: str = "val
 
 def validate_required(predictions: DataFrame, leaves: DataFrame, documents: DataFrame, keys=("document_id",)) -> DataFrame:
     """(keys, field_path, message) for required leaves that are absent, null or empty."""
-    required = leaves.where("required").agg(F.collect_list("field_path").alias("paths"))
     filled = predictions.where(~J.is_empty(F.col("value_json"))).select(*keys, "field_path")
-    wanted = documents.select(*keys).crossJoin(F.broadcast(required)).select(*keys, F.explode("paths").alias("field_path"))
+    wanted = leaf_grid(documents, list(keys), leaves.where("required"), "field_path")
     return (wanted.join(filled, [*keys, "field_path"], "left_anti")
             .withColumn("message", F.concat(F.col("field_path"), F.lit(" is required"))))
 

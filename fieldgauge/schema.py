@@ -52,10 +52,19 @@ def leaf_rows(schema: dict, prefix: str = "", required: bool = False) -> list[di
             for row in leaf_rows(child, f"{prefix}.{key}" if prefix else key, key in wanted)]
 
 
+def leaf_grid(documents: DataFrame, keys: list[str], leaves: DataFrame, *columns: str) -> DataFrame:
+    """Every document with every leaf's ``columns``: a literal array of schema size, exploded in one narrow step."""
+    rows = getattr(leaves, "_rows", None) or [r.asDict() for r in leaves.select(*columns).collect()]
+    kinds = dict(leaves.dtypes)
+    cells = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in columns]) for r in rows]
+    none = F.array().cast("array<struct<" + ",".join(f"{c}:{kinds[c]}" for c in columns) + ">>")
+    return documents.select(*keys, F.inline(F.array(*cells) if cells else none))
+
+
 def has_arrays(leaves: DataFrame) -> bool:
     """Does the schema have array leaves? Without them scoring stays in compiled code. Leaves are schema-sized."""
-    known = getattr(leaves, "_has_arrays", None)
-    return not leaves.where("type = 'array'").isEmpty() if known is None else known
+    rows = getattr(leaves, "_rows", None)
+    return not leaves.where("type = 'array'").isEmpty() if rows is None else any(r["type"] == "array" for r in rows)
 
 
 def schema_leaves(spark: SparkSession, schema: dict) -> DataFrame:
@@ -67,5 +76,5 @@ def schema_leaves(spark: SparkSession, schema: dict) -> DataFrame:
     literal = json.dumps(rows, ensure_ascii=False)
     parsed = F.from_json(F.lit(literal), f"array<struct<{LEAF_FIELDS}>>")
     leaves = spark.range(1).select(F.inline(parsed))
-    leaves._has_arrays = any(r["type"] == "array" for r in rows)
+    leaves._rows = rows
     return leaves
