@@ -18,6 +18,10 @@ def hash_sample(members: DataFrame, n: int, seed: str, tags: list[str] | None =
     if tags:
         members = members.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
     keyed = members.withColumn("sample_key", seeded(seed))
+    # only the hash ranges that reach into the sample are ranked
+    near = keyed.groupBy(hash_bucket(F.col("sample_key")).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+    near = near.withColumn("_upto", F.sum("_n").over(Window.orderBy("_b"))).where(F.col("_upto") - F.col("_n") < n).select("_b")
+    keyed = keyed.withColumn("_b", hash_bucket(F.col("sample_key"))).join(near, "_b", "left_semi").drop("_b")
     return ranked(keyed, [], hash_bucket(F.col("sample_key")), [F.col("sample_key")], rank="sample_rank").where(F.col("sample_rank") <= n)
 
 
@@ -91,16 +95,19 @@ def benchmark_snapshot(members: DataFrame, truth_documents: DataFrame) -> DataFr
 
 
 def benchmark_fingerprint(snapshot: DataFrame, by: list[str] = ["dataset_id"]) -> DataFrame:
-    """Order-independent digest per dataset: document digests, hashed in document order per bucket, then over buckets.
+    """Order-independent digest per dataset: document digests, hashed in document order per bucket, then up a tree of buckets.
 
-    A bucket is a prefix of the hashed document id, so no task sees more than one bucket of a dataset's documents.
+    A bucket is a six-digit prefix of the hashed document id (16 million of them), and 4,096 buckets at most meet in each
+    of the two steps above, so no array grows with the data until a dataset has billions of documents.
     """
     line = F.concat_ws("|", "document_id", "sha256", F.coalesce(F.col("revision").cast("string"), F.lit("")),
                        F.coalesce(J.canonical(F.col("value_json")), F.lit("")), F.coalesce("annotation_status", F.lit("")))
-    leafs = snapshot.select(*by, F.substring(F.sha2("document_id", 256), 1, 3).alias("_b"), "document_id", F.sha2(line, 256).alias("_d"))
+    leafs = snapshot.select(*by, F.substring(F.sha2("document_id", 256), 1, 6).alias("_b"), "document_id", F.sha2(line, 256).alias("_d"))
     join = lambda c: F.array_join(F.transform(F.array_sort(c), lambda s: s["_d"]), "")
     buckets = leafs.groupBy(*by, "_b").agg(F.sha2(join(F.collect_list(F.struct("document_id", "_d"))), 256).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    return buckets.groupBy(*by).agg(F.sha2(join(F.collect_list(F.struct("_b", "_d"))), 256).alias("fingerprint"), F.sum("_n").alias("documents"))
+    digest, n = F.sha2(join(F.collect_list(F.struct("_b", "_d"))), 256), F.sum("_n")
+    middle = buckets.groupBy(*by, F.substring("_b", 1, 3).alias("_p")).agg(digest.alias("_d"), n.alias("_n")).withColumnRenamed("_p", "_b")
+    return middle.groupBy(*by).agg(digest.alias("fingerprint"), n.alias("documents"))
 
 
 def field_coverage(members: DataFrame, statuses: DataFrame) -> DataFrame:

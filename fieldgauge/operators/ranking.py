@@ -53,11 +53,16 @@ def latest(df: DataFrame, keys: list[str], order: Column, columns: list[str] | N
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    """Nearest-rank quantile (value at position ceil(q*n)) from counts of distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    running = F.sum("n").over(Window.partitionBy(*keys).orderBy(value))
-    whole = F.sum("n").over(Window.partitionBy(*keys))
-    return (counts.select(*keys, value, running.alias("c"), whole.alias("t"))
-            .where(F.col("c") >= F.ceil(F.col("t") * F.lit(q) - F.lit(1e-9)))
-            .groupBy(*keys).agg(F.min(value).alias(name)))
+def nearest_rank(df: DataFrame, keys: list[str], value: str, q: float, name: str, width: float = 256) -> DataFrame:
+    """Nearest-rank quantile (value at position ceil(q*n)) from counts of distinct values.
+
+    Counts are first summed over ranges of ``width``; only the range that holds the position is put in order.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")).withColumn("_range", F.floor(F.col(value) / width))
+    ranges = counts.groupBy(*keys, "_range").agg(F.sum("n").alias("_here"))
+    w = Window.partitionBy(*keys)
+    ranges = ranges.withColumns({"_upto": F.sum("_here").over(w.orderBy("_range")), "_at": F.ceil(F.sum("_here").over(w) * F.lit(q) - F.lit(1e-9))})
+    hit = ranges.where((F.col("_upto") >= F.col("_at")) & (F.col("_upto") - F.col("_here") < F.col("_at"))).withColumn("_before", F.col("_upto") - F.col("_here"))
+    running = F.col("_before") + F.sum("n").over(Window.partitionBy(*keys).orderBy(value))
+    return (counts.join(hit.select(*keys, "_range", "_before", "_at"), [*keys, "_range"]).withColumn("_c", running)
+            .where(F.col("_c") >= F.col("_at")).groupBy(*keys).agg(F.min(value).alias(name)))

@@ -65,8 +65,8 @@ def _(v):
     return B.benchmark_snapshot(v.members, truth_values(v)).withColumn("value_json", J.canonical(F.col("value_json")))
 
 
-@query("benchmark_fingerprint", sql("""SELECT dataset_id, sha256(string_agg(d, '' ORDER BY b)) AS fingerprint, CAST(sum(n) AS BIGINT) AS documents FROM (
- SELECT dataset_id, substr(sha256(document_id), 1, 3) AS b, count(*) AS n, sha256(string_agg(sha256(document_id || '|' || sha256 || '|' || coalesce(CAST(revision AS VARCHAR), '') || '|' || coalesce(value_json, '') || '|' || coalesce(annotation_status, '')), '' ORDER BY document_id)) AS d FROM snap GROUP BY 1, 2) GROUP BY 1""", "snap"))
+@query("benchmark_fingerprint", sql("""SELECT dataset_id, sha256(string_agg(d, '' ORDER BY p)) AS fingerprint, CAST(sum(n) AS BIGINT) AS documents FROM (SELECT dataset_id, substr(b, 1, 3) AS p, sha256(string_agg(d, '' ORDER BY b)) AS d, sum(n) AS n FROM (
+ SELECT dataset_id, substr(sha256(document_id), 1, 6) AS b, count(*) AS n, sha256(string_agg(sha256(document_id || '|' || sha256 || '|' || coalesce(CAST(revision AS VARCHAR), '') || '|' || coalesce(value_json, '') || '|' || coalesce(annotation_status, '')), '' ORDER BY document_id)) AS d FROM snap GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1""", "snap"))
 def _(v):
     return B.benchmark_fingerprint(B.benchmark_snapshot(v.members, truth_values(v)))
 
