@@ -218,7 +218,10 @@ def gather(docs: DataFrame, warm_docs: int = 256, warm_chars: int = 4096) -> tup
     """The mean network, and the counts (word, class, count) of all training texts."""
     spark = docs.sparkSession
     train = docs.where(~held_out()).select("doc_id", "text")
-    some = train.where("text IS NOT NULL").orderBy(F.xxhash64(F.lit("warm"), "doc_id"), "doc_id").limit(warm_docs).select(F.substring("text", 1, warm_chars)).collect()
+    # about four times as many as are wanted are drawn by hash, so that few excerpts travel whatever the number of tasks
+    draw, n = F.xxhash64(F.lit("warm"), "doc_id"), max(1, train.count())
+    some = (train.where("text IS NOT NULL").where(F.pmod(draw, F.lit(1_000_000_000)) < int(1e9 * min(1.0, 4 * warm_docs / n)))
+            .orderBy(draw, "doc_id").limit(warm_docs).select(F.substring("text", 1, warm_chars)).collect())
     warm = Learner(Net.fresh())
     for _ in range(8 if some else 0):
         for _, classes, word_at in class_sequences([r[0] for r in some]):
