@@ -181,7 +181,7 @@ def test_line_repeats(spark, none):
 
 
 def _hash(spark, text):
-    return spark.createDataFrame([(text,)], "t string").select("t", F.size(F.split("t", " ")).cast("long").alias("n")).select(line_dedup.simhash(F.col("t"), F.col("n"))).first()[0]
+    return spark.createDataFrame([(text,)], "t string").select(line_dedup.simhash(line_dedup.word_hashes(F.col("t")))).first()[0]
 
 
 def test_html(spark):
