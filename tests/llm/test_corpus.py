@@ -180,6 +180,28 @@ def test_line_repeats(spark, none):
     assert line_dedup.repeat_counts(none).count() == 0
 
 
+def test_line_repeats_recall(spark):
+    """Near copies by brute-force edit similarity: one word or some letters changed, in lines of 5 to 60 words."""
+    import random
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(2, 9)))
+    lines = []
+    for i in range(120):
+        w = [word() for _ in range((5, 8, 14, 25, 60)[i % 5])]
+        other = list(w)
+        other[draw.randrange(len(w))] = word()
+        letters = list(" ".join(w))
+        for at in draw.sample(range(len(letters)), max(1, len(letters) // 20)):
+            letters[at] = draw.choice("aeiou")
+        lines += [" ".join(w), " ".join(other) if i % 2 else "".join(letters)]
+    t = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    norm = t.select("doc_id", line_dedup.normal_line(F.col("text")).alias("x"))
+    near = norm.join(norm.select(F.col("doc_id").alias("other"), F.col("x").alias("y")), F.col("doc_id") > F.col("other"))
+    want = {r[0] for r in near.where(F.levenshtein("x", "y") <= 0.2 * F.greatest(F.length("x"), F.length("y"))).select("doc_id").collect()}
+    got = {r["doc_id"] for r in line_dedup.repeat_counts(t).where("n_dropped = 1").collect()}
+    assert len(want) > 100 and got <= want and len(got) >= 0.95 * len(want)
+
+
 def _hash(spark, text):
     return spark.createDataFrame([(text,)], "t string").select(line_dedup.simhash(line_dedup.word_hashes(F.col("t")))).first()[0]
 
