@@ -180,6 +180,15 @@ def test_line_repeats(spark, none):
     assert line_dedup.repeat_counts(none).count() == 0
 
 
+def test_short_line_repeats(spark, tmp_path):
+    """The registered query drops exact repeats of every length, and lines in scripts without blanks."""
+    from fieldgauge.llm import queries
+    rows = [(1, "Read more\n同じ文が何度も現れる長い段落です\nok"), (2, "read MORE!\nno\n同じ文が何度も現れる長い段落です"), (3, "x\nRead more\n \nok.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["dropped"] for r in queries.op5_line_repeats(spark, str(tmp_path)).collect()}
+    assert got == {1: [], 2: [0, 2], 3: [1, 3]}
+
+
 def test_line_repeats_recall(spark):
     """Near copies by brute-force edit similarity: one word or some letters changed, in lines of 5 to 60 words."""
     import random
