@@ -4,9 +4,10 @@ Every whole text gives some counts; rows with too few words or too much repetiti
 counts are points for the forest: trees of random splits over small samples, in which unusual points end after few splits.
 A split's statistic is drawn with a chance that follows how far the labelled good and bad rows differ in it, so that statistics
 which say nothing about quality (digits in a list of numbers, say) do not make a document unusual.
-The forest is grown from the good ones of at most about ``sample_rows`` labelled rows (a documented bound; chosen by a hash of doc_id), or from any
-such sample where no row is labelled good. A row is rejected if its score is above the threshold: the lowest score at which no more than
-``clean_loss`` of the labelled good rows are rejected, or midway to the bad rows' scores where the two are apart.
+The forest is grown from at most about ``sample_rows`` good rows (a documented bound; chosen by a hash of doc_id), or from any such sample where
+no row is labelled good; as many bad rows help to weigh the statistics. All labelled rows give the range of the cuts, and all are scored for
+the threshold. A row is rejected if its score is above the threshold: the lowest score at which no more than ``clean_loss`` of the
+labelled good rows are rejected, or midway to the bad rows' scores where the two are apart.
 
 Defined results: a null or empty text has no words and fails; a null doc_id is judged by its text; equal rows are judged
 alike; a label without quality is no label, and of several for one doc_id the lowest holds; empty tables give no rows, or no
@@ -132,14 +133,29 @@ def separation(points: np.ndarray, good: np.ndarray, floor: float = 0.01) -> np.
     return np.array(out)
 
 
-def calibrate(scores: np.ndarray, good: np.ndarray, clean_loss: float, default: float) -> float:
-    """The threshold for labelled scores."""
-    fine, poor = np.sort(scores[good]), np.sort(scores[~good])
-    if not len(fine):
+def kth_lowest(scores: DataFrame, k: int, parts: int = 4096) -> float:
+    """The exact value at place ``k`` (from 0) of ``score``: counts in equal parts of the range, again within the part that holds it."""
+    low, high = scores.agg(F.min("score"), F.max("score")).first()
+    while low < high:
+        part = F.least(F.floor((F.col("score") - low) / (high - low) * parts), F.lit(parts - 1))
+        held = scores.where(F.col("score").between(low, high)).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+        for r in sorted(held.collect()):
+            if k < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            k -= r["n"]
+    return low
+
+
+def calibrate(scored: DataFrame, clean_loss: float, default: float) -> float:
+    """The threshold for all labelled rows' (score, good)."""
+    fine = scored.where("good").select("score")
+    n = fine.count()
+    if not n:
         return default
-    edge = float(fine[len(fine) - 1 - int(clean_loss * len(fine))])
-    beyond = poor[poor > edge]
-    return (edge + float(beyond[0])) / 2 if len(beyond) else edge + 1e-9
+    edge = kth_lowest(fine, n - 1 - int(clean_loss * n))
+    beyond = scored.where(~F.col("good") & (F.col("score") > edge)).agg(F.min("score")).first()[0]
+    return (edge + beyond) / 2 if beyond is not None else edge + 1e-9
 
 
 def judge(docs: DataFrame, labels: DataFrame, min_words: int = 20, repeat_percent: int = 30, sample_rows: int = 20_000, clean_loss: float = 0.001,
@@ -157,19 +173,30 @@ def judge(docs: DataFrame, labels: DataFrame, min_words: int = 20, repeat_percen
     stats = written(added(plain, numbers, lambda: count, ["_text"], ("_text",)), "quality-counts")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     marked = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    labelled = stats.where(~failed).join(marked, F.col("_id") == F.col("doc_id")).select("_id", *SHARES, "quality")
-    chosen, n = labelled, labelled.count()
-    if n == 0:
+    good_label = F.col("quality") > 0
+    labelled = written(stats.where(~failed).join(marked, F.col("_id") == F.col("doc_id")).select("_id", *SHARES, "quality"), "quality-labelled")
+    kinds = {r["good"]: r["n"] for r in labelled.groupBy(good_label.alias("good")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    has_labels, chosen = bool(kinds), labelled
+    if not has_labels:
         chosen = stats.where(~failed).select("_id", *SHARES, F.lit(None).cast("int").alias("quality"))
-        n = chosen.count()
-    if n > sample_rows:
-        chosen = chosen.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * sample_rows / n))
+        kinds = {None: chosen.count()}
+    ends = chosen.agg(*[f(c) for f in (F.min, F.max) for c in SHARES]).first()
+    for kind, n in kinds.items():
+        if n > sample_rows:
+            chosen = chosen.where(~good_label.eqNullSafe(F.lit(kind).cast("boolean")) | (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * sample_rows / n)))
     sample = chosen.orderBy("_id", *SHARES).toPandas()
     points, good = sample[SHARES].to_numpy(float), sample["quality"].to_numpy(float) > 0
-    marked = bool(sample["quality"].notna().any())
-    box = np.stack([points.min(0), points.max(0)]) if len(points) else np.zeros((2, len(SHARES)))
-    forest = Forest.grow(points[good] if good.any() else points, box, separation(points, good) if marked else np.ones(len(SHARES)))
-    threshold = calibrate(forest.score(points), good, clean_loss, default_threshold) if marked else default_threshold
+    box = np.array(ends, float).reshape(2, -1) if len(points) else np.zeros((2, len(SHARES)))
+    forest = Forest.grow(points[good] if good.any() else points, box, separation(points, good) if has_labels else np.ones(len(SHARES)))
+    threshold = default_threshold
+    if has_labels:
+        grown = spark.sparkContext.broadcast(forest)
+
+        def rate(*values):
+            return {"score": grown.value.score(np.array(values, float).reshape(len(SHARES), -1).T)}
+
+        scored = added(labelled.select(good_label.alias("good"), *SHARES), "score double", lambda: rate, SHARES, tuple(SHARES))
+        threshold = calibrate(written(scored, "quality-scores"), clean_loss, default_threshold)
     model = spark.sparkContext.broadcast((forest, threshold))
 
     def decide(numbers: pd.DataFrame) -> dict:

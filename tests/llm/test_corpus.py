@@ -300,6 +300,21 @@ def test_quality_counts_and_verdict(spark, docs, none):
     assert quality.judge(none, labels).count() == 0 and quality.judge(docs, labels.limit(0)).count() == len(base())
 
 
+def test_quality_threshold_from_all_labels(spark):
+    """The sample grows the forest only: whatever its size, all labelled rows set the threshold, rare bad ones too."""
+    import random
+    draw = random.Random(3)
+    rows = [(i, " ".join(("W" if draw.random() < i / 3000 else "w") + f"{draw.randrange(10 ** 6)}" + "!" * (draw.random() < i / 4000) for _ in range(60)), "en", "s", 1) for i in range(600)]
+    bad = [(1000 + k, " ".join(f"A{k}{j}### $$$" for j in range(60)), "en", "s", 1) for k in range(2)]
+    labels = spark.createDataFrame([(i, 1) for i in range(600)] + [(1000, 0), (1001, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows + bad, DOCS)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels, sample_rows=60, clean_loss=0.0, keep=["doc_id"]).collect()}
+    assert all(got[i] for i in range(600)) and not got[1000] and not got[1001]
+    scores = [0.1 * (i * 37 % 101) for i in range(101)] + [3.0] * 40
+    t = spark.createDataFrame([(x,) for x in scores], "score double").repartition(4)
+    assert [quality.kth_lowest(t, k, parts=3) for k in (0, 31, 60, 140)] == [sorted(scores)[k] for k in (0, 31, 60, 140)]
+
+
 @pytest.mark.parametrize("shards", [1, 4, 24])
 def test_shards(spark, docs, none, shards):
     many = spark.createDataFrame([(1000 + i, "the same text", "en", "s", 1) for i in range(2000)], DOCS).union(docs)
