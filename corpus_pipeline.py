@@ -24,8 +24,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as their source's target has room for, the last one of a block cut."""
-    return mixing.mix_documents(docs)
+    """The mix: whole documents as often as their source's target has room for."""
+    return mixing.mix_documents(docs, whole_texts=True)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,13 +94,16 @@ def mixture(docs: DataFrame, seed: str = "mix-1", block_tokens: int = 16, shard_
                        (rounds * F.col("size") + part).cast("long").alias("taken"))
 
 
-def mix_documents(docs: DataFrame, **options) -> DataFrame:
+def mix_documents(docs: DataFrame, whole_texts: bool = False, **options) -> DataFrame:
     """The mixed documents with the columns of ``docs``: a document comes once per full take, and once more, cut to its
-    leading words, where a block ends inside it. ``n_chars``, if there, follows the cut text."""
+    leading words, where a block ends inside it. ``n_chars``, if there, follows the cut text. With ``whole_texts`` no text is cut:
+    the one document in which a shard's tape ends comes once more if half of it or more is taken, so a shard's words differ by half of that at most."""
     columns = docs.columns
     mixed = mixture(docs, keep=columns, **options).where(F.col("taken") > 0)
     whole = F.floor(F.col("taken") / F.col("size")).cast("long")
     cut = F.col("taken") - whole * F.col("size")
+    if whole_texts:
+        whole, cut = whole + (2 * cut >= F.col("size")).cast("long"), F.lit(0).cast("long")
     mixed = mixed.withColumn("_take", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))))
     words = F.split(F.col("text"), rf"(?<=[{SPACE}])(?=[^{SPACE}])")
     # text before the first word is a piece of its own

@@ -116,6 +116,20 @@ def test_mixture(spark, docs, none):
     assert mixing.mixture(none).count() == 0
 
 
+def test_pipeline_mixes_whole_texts(spark, docs):
+    import corpus_pipeline
+    out = corpus_pipeline.mixing_stage(spark, docs, "").collect()
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in out} <= {(r[0], r[1], r[4]) for r in base()}
+    words, taken, largest = Counter(), Counter(), Counter()
+    for r in out:
+        words[r["source"]] += len(WORD.findall(r["text"]))
+    for r in mixing.mixture(docs).collect():
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    shards = {"s2": 3}
+    assert all(abs(words[s] - taken[s]) <= shards.get(s, 1) * largest[s] / 2 for s in taken)
+
+
 def test_seats_are_highest_quotients(spark):
     shares = [53, 24, 23, 7, 1]
     t = spark.createDataFrame([(0, i, float(x), 11, float(sum(shares))) for i, x in enumerate(shares)], "g int, i int, share double, blocks long, total double")
