@@ -20,6 +20,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsonvals import sealed
 from .license_rules import REACH, RULES, SURENESS, Rule
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,7 +37,7 @@ def keyword_regex(keywords: list[str]) -> str:
     by_letter = defaultdict(list)
     for k in sorted(keywords):
         by_letter[k[0]].append(k[1:])
-    return "(?<= )(" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")(?= )"
+    return " (" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in by_letter.items()) + ")(?= )"
 
 
 def rule_table(rules: list[Rule], labels: list[str]) -> Column:
@@ -104,7 +105,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rules: list[Rule] = R
     given = docs.select(*[F.col(c).alias(f"in_{c}") for c in carried], F.coalesce(F.col(text_col), F.lit("")).alias("whole"))
     low = F.translate("whole", UPPER, LOWER)
     words = given.select("*", F.trim(F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")).alias("plain")).drop("whole")
-    marked = words.select("*", F.regexp_replace(F.concat(F.lit(" "), "plain", F.lit(" ")), keyword_regex([*{r.keyword for r in rules}]), MARK + "$1").alias("marked"))
+    marked = words.select("*", F.regexp_replace(F.concat(F.lit(" "), "plain", F.lit(" ")), keyword_regex([*{r.keyword for r in rules}]), " " + MARK + "$1").alias("marked"))
     counted = marked.select("*", F.when(F.length("plain") > 0, blanks(F.col("plain")) + 1).otherwise(0).cast("long").alias("n_words"),
                             F.when(F.contains("marked", F.lit(MARK)), F.split(F.trim("marked"), " ")).alias("words")).drop("plain", "marked")
     placed = counted.select("*", _places(F.col("words"), reach).alias("places")).drop("words")
@@ -116,12 +117,12 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rules: list[Rule] = R
     listed = tallied.select("*", F.coalesce(seen, F.array().cast("array<struct<label:string,n:int,first_word:int,last_word:int,priority:int>>")).alias("detections")).drop("tally")
     base = F.coalesce(F.col("base"), F.array().cast(tallied.schema["base"].dataType))
     sure = F.array(*[F.lit(x) for x in SURENESS])
-    return listed.select(
-        *[F.col(f"in_{c}").alias(c) for c in carried], "n_words", F.size(base).cast("long").alias("n_base"),
+    return sealed(
+        listed, [F.col(f"in_{c}").alias(c) for c in carried], [F.col("n_words"), F.size(base).cast("long").alias("n_base"),
         F.array_min(F.transform("base", lambda d: d["start"])).cast("long").alias("first_word"), F.array_max(F.transform("base", lambda d: d["start"])).cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(base, lambda d: F.element_at(names, d["label"] + 1)))), ",").alias("base_labels"),
         F.array_join(F.transform("detections", lambda d: d["label"]), ",").alias("labels"),
-        F.when(F.size("detections") > 0, F.element_at(sure, F.array_min(F.transform("detections", lambda d: d["priority"])) + 1)).otherwise(0.0).alias("score"), "detections")
+        F.when(F.size("detections") > 0, F.element_at(sure, F.array_min(F.transform("detections", lambda d: d["priority"])) + 1)).otherwise(0.0).alias("score"), F.col("detections")])
 
 
 def license_verdicts(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """The registered queries of the corpus operators, one for each, over their whole tables, and their SQL."""
 from __future__ import annotations
 
-from . import chat, decontaminate, fill_middle, html_extract, language_id, line_dedup, lm_score, mixing, near_dedup, quality, sharding, vector_codes
+from . import chat, decontaminate, fill_middle, html_extract, language_id, license_scan, line_dedup, lm_score, mixing, near_dedup, quality, sharding, vector_codes
 from .store import table
 
 
@@ -52,11 +52,16 @@ def op11_fill_in_middle(spark, sf_dir):
     return fill_middle.middle_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scans(spark, sf_dir):
+    return license_scan.license_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark, sf_dir):
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_mix_sources, op3_format_chats, op4_find_leaks, op5_line_repeats,
-                                   op6_page_texts, op7_lm_scores, op8_languages, op9_quality_rules, op10_shard_documents, op11_fill_in_middle, op13_vector_codes)}
+                                   op6_page_texts, op7_lm_scores, op8_languages, op9_quality_rules, op10_shard_documents, op11_fill_in_middle,
+                                   op12_license_scans, op13_vector_codes)}
 ORACLES = {"op1_near_duplicates": near_dedup.DEDUP_SQL, "op2_mix_sources": mixing.MIX_SQL, "op3_format_chats": chat.CHAT_SQL, "op4_find_leaks": decontaminate.LEAK_SQL,
-           "op11_fill_in_middle": fill_middle.MIDDLE_SQL, "op13_vector_codes": vector_codes.CODES_SQL}
+           "op11_fill_in_middle": fill_middle.MIDDLE_SQL, "op12_license_scans": license_scan.LICENSE_SQL, "op13_vector_codes": vector_codes.CODES_SQL}
