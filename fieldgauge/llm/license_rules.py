@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-REACH = 16
+REACH = 24
 # Priorities, best first, and how sure a detection of each is.
 IDENTIFIER, GRANT, WORDING, NAME, HINT = range(5)
 SURENESS = (1.0, 0.95, 0.9, 0.8, 0.4)

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -129,6 +130,15 @@ def kept_vectors(vectors: DataFrame, column: str) -> DataFrame:
     return vectors.where(x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))))
 
 
+def limbs(number: int) -> list[int]:
+    """``number`` as 64-bit integers, the k-th of them to be multiplied by 2 ** (60 k)."""
+    out = []
+    while not -(1 << 62) < number < 1 << 62:
+        out.append(number & ((1 << 60) - 1))
+        number >>= 60
+    return [*out, number]
+
+
 def _sums(books: Codebooks):
     arrays, width = books.arrays(), books.width
 
@@ -146,22 +156,24 @@ def _sums(books: Codebooks):
                     if len(chosen):
                         # halves of 32 bits, so that no batch can overflow
                         totals[p][e] += chosen.sum(0) if chosen.dtype == object else ((chosen >> 32).sum(0).astype(object) << 32) + (chosen & 0xFFFFFFFF).sum(0).astype(object)
-        rows = [(p, e, k, int(counts[p][e]), int(t)) for p in range(len(arrays)) for e in range(len(arrays[p])) if counts[p][e] for k, t in enumerate(totals[p][e])]
-        high = [r[4] >> 60 for r in rows]
-        columns = [*([r[i] for r in rows] for i in range(4)), [str(h) for h in high], [r[4] - (h << 60) for r, h in zip(rows, high)]]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["part", "entry", "place", "n", "high", "low"])
+        rows = [(p, e, k, limb, int(counts[p][e]), x) for p in range(len(arrays)) for e in range(len(arrays[p])) if counts[p][e]
+                for k, t in enumerate(totals[p][e]) for limb, x in enumerate(limbs(int(t)))]
+        kinds = [pa.int32()] * 4 + [pa.int64()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "entry", "place", "limb", "n", "value"])
     return run
 
 
 def moved(vectors: DataFrame, column: str, books: Codebooks) -> Codebooks:
     """The codebooks after one round: entries become the floored means of their parts, unused ones stay."""
-    sums = vectors.select(column).mapInArrow(_sums(books), "part int, entry int, place int, n long, high string, low long")
-    wide = "decimal(38,0)"
-    found = sums.groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum(F.col("high").cast(wide)).alias("high"), F.sum(F.col("low").cast(wide)).alias("low")).collect()
-    entries = [[list(e) for e in part] for part in books.entries]
+    sums = vectors.select(column).mapInArrow(_sums(books), "part int, entry int, place int, limb int, n long, value long")
+    found = sums.groupBy("part", "entry", "place", "limb").agg(F.sum("n").alias("n"), F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).collect()
+    total, counts = defaultdict(int), {}
     for r in found:
-        entries[r["part"]][r["entry"]][r["place"]] = ((int(r["high"]) << 60) + int(r["low"])) // r["n"]
+        total[r["part"], r["entry"], r["place"]] += int(r["value"]) << 60 * r["limb"]
+        counts[r["part"], r["entry"]] = max(counts.get((r["part"], r["entry"]), 0), r["n"])  # higher limbs come from some tasks only
+    entries = [[list(e) for e in part] for part in books.entries]
+    for (part, entry, place), t in total.items():
+        entries[part][entry][place] = t // counts[part, entry]
     return Codebooks(entries, books.width, books.scale)
 
 
