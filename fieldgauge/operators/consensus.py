@@ -35,50 +35,86 @@ def _by_branch(df: DataFrame, branches: int, item: Column, keys: list[str]) -> D
     return df.groupBy(*keys).agg(*slots).select(*keys, F.filter(F.array(*[F.col(f"_s{b}") for b in range(branches)]), lambda s: s.isNotNull()).alias("_items"))
 
 
+def vote_policies(leaves: DataFrame, defaults: dict, policies: dict[str, dict] | None = None) -> DataFrame:
+    """``leaves`` with the vote settings of each field: its own where it has some, else the ``defaults``.
+
+    Settings are tolerance, case_insensitive, numeric_strings and row_key. Formats do not count in a vote.
+    """
+    for path, policy in (policies or {}).items():
+        if unknown := set(policy) - {"tolerance", "case_insensitive", "numeric_strings", "row_key"}:
+            raise ValueError(f"unknown settings of {path}: {sorted(unknown)}")
+    kinds = {"tolerance": "decimal(38,10)", "case_insensitive": "boolean", "numeric_strings": "boolean", "row_key": "string"}
+
+    def setting(name):
+        value = F.lit(defaults.get(name)).cast(kinds[name])
+        for path, policy in (policies or {}).items():
+            if policy.get(name) is not None:
+                value = F.when(F.col("field_path") == path, F.lit(policy[name]).cast(kinds[name])).otherwise(value)
+        return value
+    return leaves.withColumns({"format": F.lit(None).cast("string"), **{name: setting(name) for name in kinds}})
+
+
 def majority_vote(candidates: DataFrame, leaves: DataFrame, documents: DataFrame, branches: int, quorum: int | None = None,
                   tolerance: str = "0", row_keys: dict[str, str] | None = None, case_insensitive: bool = False,
-                  numeric_strings: bool = False) -> DataFrame:
+                  numeric_strings: bool = False, policies: dict[str, dict] | None = None) -> DataFrame:
     """Per document and leaf: the unique group of agreeing schema-valid values with at least ``quorum`` members.
 
-    A value joins the first group all of whose members it equals (numbers within ``tolerance``), so no chains form.
+    A value joins the first group all of whose members it equals (numbers within the field's tolerance), so no chains form.
     Tables are equal when they hold the same rows by their row key; without a key they never agree.
+    ``policies`` gives fields settings of their own, {path: {tolerance, case_insensitive, numeric_strings, row_key}}; the other
+    arguments hold for the rest. A field without a tolerance is counted map-side; only fields with one gather a cell's candidates.
     """
     quorum = quorum or branches // 2 + 1
-    plain = leaves.withColumn("format", F.lit(None).cast("string"))
-    checked = with_errors(with_leaf(_expected(candidates, branches).where(~J.is_null(F.col("value_json"))), plain, "inner"), F.col("value_json"), "_errors")
-    valid = checked.where(F.size("_errors") == 0)
-    key = F.lit(None).cast("string")
+    policies = {path: dict(p) for path, p in (policies or {}).items()}
     for path, name in (row_keys or {}).items():
-        key = F.when(F.col("field_path") == path, name).otherwise(key)
+        policies.setdefault(path, {}).setdefault("row_key", name)
+    settled = vote_policies(leaves, {"tolerance": str(tolerance), "case_insensitive": case_insensitive, "numeric_strings": numeric_strings}, policies)
     v = F.col("value_json")
-    signature = F.when(J.kind(v) == "array", J.table_signature(v, key)).otherwise(J.vote_normalize(v, F.lit(case_insensitive), F.lit(numeric_strings)))
-    staged = J.sealed(valid, ["document_id", "field_path", "branch", "value_json", "confidence"], [signature.alias("sig")])
-    voted = _counted(staged, branches, quorum) if float(tolerance) == 0 and quorum > 1 else _folded(staged, branches, quorum, tolerance)
+    named = with_leaf(_expected(candidates, branches).where(~J.is_null(v)), settled, "inner")
+    checked = with_errors(named, v, "_errors").where(F.size("_errors") == 0)
+    signature = F.when(J.kind(v) == "array", J.table_signature(v, J.leaf("row_key"))).otherwise(J.vote_normalize(v, J.leaf("case_insensitive"), J.leaf("numeric_strings")))
+    staged = J.sealed(checked, [*DF, "branch", "value_json", "confidence", J.leaf("tolerance").alias("tolerance")], [signature.alias("sig")])
+    limits = {str(tolerance), *(str(p["tolerance"]) for p in policies.values() if p.get("tolerance") is not None)}
+    near = {x for x in limits if float(x) != 0}
+    parts = []
+    if quorum > 1 and len(near) < len(limits):
+        parts.append(_counted(staged.where("tolerance = 0") if near else staged, branches, quorum))
+    if quorum <= 1 or near:
+        parts.append(_folded(staged.where("tolerance <> 0") if parts else staged, branches, quorum))
+    voted = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     grid = leaf_grid(documents, ["document_id"], leaves, "field_path", "type")
     message = F.when(F.col("type") == "array", "No majority consensus; array fields require a row key").otherwise("No majority consensus")
     votes = F.coalesce("votes", F.lit(0))
     return grid.join(voted, DF, "left").select(
         *DF, "value_json", "confidence", votes.cast("int").alias("votes"),
-        F.when(votes > 0, votes / F.lit(float(branches))).alias("agreement"), F.when(votes == 0, message).alias("error"))
+        F.when(votes > 0, votes / F.lit(float(branches))).alias("agreement"), F.when(votes == 0, message).alias("error"),
+        F.coalesce("voters", F.array().cast("array<int>")).alias("voters"))
+
+
+def vote_decisions(votes: DataFrame, branches: int, quorum: int | None = None) -> DataFrame:
+    """(document_id, field, votes, voters, quorum, selected): what a vote decided, a row for each document and field."""
+    needed = quorum or branches // 2 + 1
+    return votes.select("document_id", F.col("field_path").alias("field"), "votes", F.lit(branches).alias("voters"), F.lit(needed).alias("quorum"), (F.col("votes") > 0).alias("selected"))
 
 
 def _counted(staged: DataFrame, branches: int, quorum: int) -> DataFrame:
     """Exact votes: equal values are counted map-side; the first branch of the one group that reaches the quorum speaks for it."""
+    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("branch").cast("int")))
     groups = (staged.where(F.col("sig").isNotNull()).groupBy(*DF, "sig")
-              .agg(F.count(F.lit(1)).alias("votes"), F.min_by(F.struct("value_json", "confidence"), "branch").alias("_x")).where(F.col("votes") >= quorum))
+              .agg(F.count(F.lit(1)).alias("votes"), bits.alias("_bits"), F.min_by(F.struct("value_json", "confidence"), "branch").alias("_x")).where(F.col("votes") >= quorum))
     if 2 * quorum <= branches:  # more than one group may reach it
-        groups = groups.groupBy(*DF).agg(F.count(F.lit(1)).alias("_n"), F.first("votes").alias("votes"), F.first("_x").alias("_x")).where("_n = 1")
-    return groups.select(*DF, "votes", "_x.value_json", "_x.confidence")
+        groups = groups.groupBy(*DF).agg(F.count(F.lit(1)).alias("_n"), F.first("votes").alias("votes"), F.first("_bits").alias("_bits"), F.first("_x").alias("_x")).where("_n = 1")
+    said = F.filter(F.sequence(F.lit(0), F.lit(branches - 1)), lambda b: F.call_function("getbit", F.col("_bits"), b) == 1)
+    return groups.select(*DF, "votes", "_x.value_json", "_x.confidence", said.alias("voters"))
 
 
-def _folded(staged: DataFrame, branches: int, quorum: int, tolerance: str) -> DataFrame:
+def _folded(staged: DataFrame, branches: int, quorum: int) -> DataFrame:
     """Votes with a tolerance: a cell's candidates, one for each branch, are folded into groups in branch order."""
-    item = F.struct(F.col("branch"), F.col("sig"), J.number(F.col("sig")).alias("num"), F.col("value_json"), F.col("confidence"))
+    item = F.struct(F.col("branch").cast("int").alias("branch"), F.col("sig"), J.number(F.col("sig")).alias("num"), F.col("value_json"), F.col("confidence"), F.col("tolerance"))
     grouped = _by_branch(staged, branches, item, DF)
-    limit = F.lit(str(tolerance)).cast("decimal(38,10)")
 
     def same(a, b):
-        return F.coalesce(F.when(a["num"].isNotNull() & b["num"].isNotNull(), F.abs(a["num"] - b["num"]) <= limit)
+        return F.coalesce(F.when(a["num"].isNotNull() & b["num"].isNotNull(), F.abs(a["num"] - b["num"]) <= b["tolerance"])
                           .otherwise(a["sig"] == b["sig"]), F.lit(False))
 
     def add(groups, x):
@@ -88,9 +124,9 @@ def _folded(staged: DataFrame, branches: int, quorum: int, tolerance: str) -> Da
             F.transform(groups, lambda g, i: F.when(i + 1 == at, F.concat(g, F.array(x))).otherwise(g)))
     empty = F.filter(F.array(F.col("_items")), lambda g: F.lit(False))
     won = F.filter(F.aggregate("_items", empty, add), lambda g: F.size(g) >= quorum)
-    voted = grouped.select(*DF, F.when(F.size(won) == 1, F.get(won, F.lit(0))).alias("_w")).where("_w IS NOT NULL")
+    voted = J.sealed(grouped, DF, [F.when(F.size(won) == 1, F.get(won, F.lit(0))).alias("_w")]).where("_w IS NOT NULL")
     first = F.get(F.col("_w"), F.lit(0))
-    return voted.select(*DF, F.size("_w").alias("votes"), first["value_json"].alias("value_json"), first["confidence"].alias("confidence"))
+    return voted.select(*DF, F.size("_w").cast("long").alias("votes"), first["value_json"].alias("value_json"), first["confidence"].alias("confidence"), F.col("_w.branch").alias("voters"))
 
 
 def merge_changes(candidates: DataFrame, branches: int, current: DataFrame | None = None,

@@ -16,8 +16,7 @@ for _r in (2, 3):
 
 
 def candidates(v, runs=(1, 2, 3)):
-    parts = [v.pred(r).select("document_id", F.lit(i).alias("branch"), "field_path", "value_json", "confidence") for i, r in enumerate(runs)]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return v.branches(runs)
 
 
 CTES["cand"] = (("pred1", "pred2", "pred3"), "SELECT *, 0 AS branch FROM pred1 UNION ALL SELECT *, 1 FROM pred2 UNION ALL SELECT *, 2 FROM pred3")
@@ -30,16 +29,35 @@ SIG = rf"CASE WHEN value_json[1] = '\"' THEN '\"' || trim(regexp_replace({txt('v
  ON w.document_id = b.document_id AND w.field_path = b.field_path""", "base", "cand"))
 def _(v):
     out = C.majority_vote(candidates(v), v.leaves, v.documents, 3)
-    return out.withColumn("agreement", F.round("agreement", 6))
+    return out.drop("voters").withColumn("agreement", F.round("agreement", 6))
 
 
-@query("tolerance_vote", sql("""SELECT document_id, CASE WHEN ab OR ac THEN a WHEN bc THEN b END AS value_json, CASE WHEN ab AND coalesce(ac, false) AND coalesce(bc, false) THEN 3 WHEN ab OR ac OR bc THEN 2 ELSE 0 END AS votes FROM (
- SELECT d.document_id, a.value_json AS a, b.value_json AS b, abs(CAST(a.value_json AS DOUBLE) - CAST(b.value_json AS DOUBLE)) < 0.0101 AS ab, abs(CAST(a.value_json AS DOUBLE) - CAST(c.value_json AS DOUBLE)) < 0.0101 AS ac,
- abs(CAST(b.value_json AS DOUBLE) - CAST(c.value_json AS DOUBLE)) < 0.0101 AS bc FROM (SELECT DISTINCT document_id FROM base) d LEFT JOIN v1 a ON a.document_id = d.document_id LEFT JOIN v2 b ON b.document_id = d.document_id LEFT JOIN v3 c ON c.document_id = d.document_id)""", "base", "cand")
-       .replace("\nSELECT document_id, CASE WHEN ab", ",\n" + ",\n".join(f"v{i} AS (SELECT * FROM pred{i} WHERE f = 1 AND {VALID})" for i in (1, 2, 3)) + "\nSELECT document_id, CASE WHEN ab"))
+POLICIES = {"total": {"tolerance": "0.01", "numeric_strings": True}, "priority": {"case_insensitive": True}, "customer.name": {"case_insensitive": True}}
+PSIG = rf"CASE WHEN f IN (4, 5) THEN lower({SIG}) ELSE {SIG} END"
+CTES["cells"] = (("base", "cand"), f"""SELECT b.document_id, b.field_path, b.f, a.value_json AS v1, b2.value_json AS v2, c.value_json AS v3, a.confidence AS c1, b2.confidence AS c2, a.sig AS s1, b2.sig AS s2, c.sig AS s3 FROM base b
+ LEFT JOIN (SELECT *, {PSIG} AS sig FROM cand WHERE branch = 0 AND {VALID}) a ON a.document_id = b.document_id AND a.field_path = b.field_path LEFT JOIN (SELECT *, {PSIG} AS sig FROM cand WHERE branch = 1 AND {VALID}) b2 ON b2.document_id = b.document_id AND b2.field_path = b.field_path
+ LEFT JOIN (SELECT *, {PSIG} AS sig FROM cand WHERE branch = 2 AND {VALID}) c ON c.document_id = b.document_id AND c.field_path = b.field_path""")
+
+
+def agree(a, b):
+    return f"coalesce(CASE WHEN f = 1 THEN abs(CAST({a} AS DECIMAL(38,10)) - CAST({b} AS DECIMAL(38,10))) <= 0.01 ELSE {a} = {b} END, false)"
+
+
+POLICY_VOTE_SQL = f"""SELECT document_id, field_path, CASE WHEN ab OR ac THEN v1 WHEN bc THEN v2 END AS value_json, CASE WHEN ab OR ac THEN c1 WHEN bc THEN c2 END AS confidence,
+ CASE WHEN ab AND ac AND bc THEN 3 WHEN ab OR ac OR bc THEN 2 ELSE 0 END AS votes, CASE WHEN ab AND ac AND bc THEN '0,1,2' WHEN ab THEN '0,1' WHEN ac THEN '0,2' WHEN bc THEN '1,2' ELSE '' END AS voters,
+ CASE WHEN NOT (ab OR ac OR bc) THEN 'No majority consensus' END AS error FROM (SELECT *, {agree('s1', 's2')} AS ab, {agree('s1', 's3')} AS ac, {agree('s2', 's3')} AS bc FROM cells)"""
+
+
+@query("tolerance_vote", sql(POLICY_VOTE_SQL, "cells"))
+def _(v):
+    """Every field by its own policy: totals within a cent, priorities and names whatever their case, the rest exactly."""
+    out = C.majority_vote(candidates(v), v.leaves, v.documents, 3, policies=POLICIES)
+    return out.select("document_id", "field_path", "value_json", "confidence", "votes", F.array_join("voters", ",").alias("voters"), "error")
+
+
+@query("vote_decisions", sql(f"SELECT document_id, field_path AS field, votes, 3 AS voters, 2 AS quorum, votes > 0 AS selected FROM ({POLICY_VOTE_SQL})", "cells"))
 def _(v):
-    c = candidates(v).where("field_path = 'total'")
-    return C.majority_vote(c, v.leaves.where("field_path = 'total'"), v.documents, 3, tolerance="0.01").select("document_id", "value_json", "votes")
+    return C.vote_decisions(C.majority_vote(candidates(v), v.leaves, v.documents, 3, policies=POLICIES), 3)
 
 
 def line_tables(v):

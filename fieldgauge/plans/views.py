@@ -31,21 +31,31 @@ class Views:
         """A given table, read with Spark's own partition settings."""
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @property
+    def width(self) -> int:
+        """Partitions to deal rows out to before they are multiplied; given as a number, as Spark would otherwise join small partitions again."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     @cached_property
     def leaves(self) -> DataFrame:
         return schema_leaves(self.spark, SCHEMA)
 
     @cached_property
     def base(self) -> DataFrame:
-        """order x field with the true text ``v``."""
+        """order x field with the true text ``v``.
+
+        Orders are narrow and few against the rows made of them, so they are dealt out by document first; groupings by document need no
+        further exchange.
+        """
         o = self.table("orders").join(self.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", "left")
         total = F.col("o_totalprice").cast("decimal(12,2)").cast("string")
         texts = [total, F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderstatus"), F.col("o_orderpriority"),
                  F.col("c_name"), F.lit("USD")]
         rows = F.array(*[F.struct(F.lit(i + 1).alias("f"), F.lit(p).alias("field_path"), t.alias("v"))
                          for i, (p, t) in enumerate(zip(FIELDS, texts))])
-        return (o.select(F.col("o_orderkey").alias("k"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("document_id"),
-                         F.explode(rows).alias("x")).select("k", "document_id", "x.*"))
+        known = o.select(F.col("o_orderkey").alias("k"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("document_id"),
+                         "o_totalprice", "o_orderdate", "o_orderstatus", "o_orderpriority", "c_name").repartition(self.width, "document_id")
+        return known.select("k", "document_id", F.explode(rows).alias("x")).select("k", "document_id", "x.*")
 
     @cached_property
     def documents(self) -> DataFrame:
@@ -74,10 +84,10 @@ class Views:
         """Latest revisions, read directly: the newest is known from k."""
         return self.truth_all.where(F.col("revision") == F.when(F.col("k") % 7 == 0, 2).otherwise(1))
 
-    def pred(self, r: int) -> DataFrame:
-        k, f, v = F.col("k"), F.col("f"), F.col("v")
-        h = (k * 31 + f * 17 + r * 5) % 20
-        b = self.base.withColumn("h", h)
+    def _predicted(self, base: DataFrame, columns: list) -> DataFrame:
+        """Perturbed true values of ``base``, whose column ``r`` is the run; rows are right, wrong, variants, padded, near, invalid, null or absent."""
+        k, f, v, r = F.col("k"), F.col("f"), F.col("v"), F.col("r")
+        b = base.withColumn("h", (k * 31 + f * 17 + r * 5) % 20)
         h = F.col("h")
         dec = v.try_cast("decimal(12,2)")
         day = F.try_to_date(v, "yyyy-MM-dd")
@@ -96,9 +106,20 @@ class Views:
         value = (F.when(null_truth & ((k + r) % 9 == 0), self._json(f, v)).when(null_truth | (h == 0), "null").otherwise(json))
         conf = F.when((k + f + r) % 15 != 0, ((k * 37 + f * 11 + r * 3) % 101) / F.lit(100.0))
         out = (b.where(null_truth | (h != 0) | (k % 2 == 1))
-               .select(F.lit(f"run-{r}").alias("run_id"), "k", "document_id", "f", "field_path", value.alias("value_json"), conf.alias("confidence")))
-        kind = F.when(F.col("f") == 1, "number").otherwise("string")
-        return J.extraction_normalize(out, "value_json", kind)
+               .select(*columns, "k", "document_id", "f", "field_path", value.alias("value_json"), conf.alias("confidence")))
+        return out
+
+    def pred(self, r: int) -> DataFrame:
+        """One run's predictions."""
+        out = self._predicted(self.base.withColumn("r", F.lit(r)), [F.lit(f"run-{r}").alias("run_id")])
+        return J.extraction_normalize(out, "value_json", F.when(F.col("f") == 1, "number").otherwise("string"))
+
+    def branches(self, runs: tuple[int, ...]) -> DataFrame:
+        """Raw predictions of several runs as branches 0, 1, ... of one plan."""
+        named = F.array(*[F.struct(F.lit(i).alias("branch"), F.lit(r).alias("r")) for i, r in enumerate(runs)])
+        base = self.base.select("k", "document_id", "f", "field_path", "v", F.inline(named))
+        return self._predicted(base, ["branch"]).drop("k", "f")
+
 
     def extractions(self, r: int) -> DataFrame:
         k = F.col("o_orderkey")
