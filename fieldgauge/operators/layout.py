@@ -278,13 +278,15 @@ def evidence_text_join(needles: DataFrame, blocks: DataFrame) -> DataFrame:
     return shaped.select(*keep, F.explode(match["needle"]).alias("needle"))
 
 
-def best_evidence(matches: DataFrame, keys: list[str] = ["document_id", "needle"]) -> DataFrame:
-    """Earliest page, grounded before inferred, smallest area, lowest source index: a map-side combined min_by."""
+def best_evidence(matches: DataFrame, keys: list[str] = ["document_id", "needle"], more: list[str] = []) -> DataFrame:
+    """Earliest page, grounded before inferred, smallest area, lowest source index: a map-side combined min_by.
+
+    ``more``: further columns of the block to keep."""
     b = F.col("bbox")
     area = F.greatest(F.lit(0.0), b[2] - b[0]) * F.greatest(F.lit(0.0), b[3] - b[1])
     order = F.struct(F.col("page").alias("a"), F.when(F.col("bbox_source") == "inferred", 1).otherwise(0).alias("b"), area.alias("c"),
                      F.coalesce("source_index", F.lit(10 ** 9)).alias("d"))
-    return matches.groupBy(*keys).agg(F.min_by(F.struct("page", "bbox", "text", "block_id", "bbox_source"), order).alias("evidence"))
+    return matches.groupBy(*keys).agg(F.min_by(F.struct("page", "bbox", "text", "block_id", "bbox_source", *more), order).alias("evidence"))
 
 
 def evidence_for_fields(fields: DataFrame, blocks: DataFrame, parsers: DataFrame) -> DataFrame:

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
-from ..operators import layout as L, benchmark as B
+from ..functions import jsonvals as J, text as T
+from ..operators import layout as L, benchmark as B, canonical as CO
+from ..schema import schema_leaves
 from .q_diagnose import pages
 from .registry import query
 from .sql import CTES, sql
@@ -243,3 +244,38 @@ def _(v):
     q, p, c = quotes(v)
     cand = q.select("document_id", F.lit("answer").alias("field"), F.when(F.col("quote_id") == "code", 0).otherwise(1).alias("pos"), "quote_id", F.lit('"x"').alias("value_json"), F.lit("extracted").alias("status"))
     return B.reference_truth_build(cand, B.reference_page_lookup(q, p, c)).select("document_id", "field", "quote_id")
+
+
+# ---- canonical output with evidence and provenance ----------------------------------------------------
+CANON_SCHEMA = {"type": "object", "properties": {"code": {"type": "string"}, "part": {"type": "object", "properties": {"head": {"type": "string"}, "size": {"type": "number"}}}}}
+
+
+def raw_outputs(v):
+    """An output for each document: a wrapped code that cites a region (n % 3 = 0), a malformed one (1) or none (2), a bare head and a size."""
+    d, n, q = v.table("documents"), F.col("doc_id"), lambda c: F.coalesce(J.quote(c), F.lit("null"))
+    code = F.lower(F.substring("text", F.floor(F.col("n_chars") / 2).cast("int") + 1, F.lit(8)))
+    good = '{"page": 1, "bbox": [0.1, 0.2, 0.5, 0.4], "text": "cited", "block_id": "own", "bbox_source": "model", "metadata": {"grounding": "visual"}}'
+    cites = F.when(n % 3 == 0, f'[{good}, {{"page": 9, "bbox": [0, 0, 1, 1]}}, "box"]').when(n % 3 == 1, '[{"page": 1, "bbox": [0.5, 0.2, 0.1, 0.4]}, {"page": true, "bbox": [0, 0, 1, 1]}]').otherwise("null")
+    body = F.concat(F.lit('{"code": {"value": '), q(code), F.lit(', "confidence": '), F.when(n % 5 == 0, "1.5").otherwise("0.75"), F.lit(', "confidence_source": "model_reported", "errors": ["checked"], "evidence": '), cites,
+                    F.when(n % 4 == 0, ', "harness_provenance": {"model": "field-model", "step": 2}, "selection": {"method": "majority_vote"}').otherwise(""),
+                    F.lit('}, "part": {"head": '), q(F.substring("text", 1, 12)), F.lit(', "size": {"value": "$1,0'), F.lpad((n % 100).cast("string"), 2, "0"), F.lit('"}}}'))
+    return d.select(F.concat(F.lit("d"), n.cast("string")).alias("document_id"), body.alias("output_json"))
+
+
+CTES["canon_best"] = (("ev_best", "doc_needles"), "SELECT n.document_id, n.field_path, n.needle, b.page, b.block_id, b.bbox_source FROM doc_needles n LEFT JOIN ev_best b ON b.document_id = n.document_id AND b.needle = n.needle AND CAST(substr(n.document_id, 2) AS BIGINT)%10 <> 0")
+
+
+@query("canonical_output", sql("""SELECT document_id, 'code' AS field_path, needle AS "value", trim(needle, ' ') AS normalized, CASE WHEN n%5 <> 0 THEN 0.75::DOUBLE END AS confidence, 'checked' AS errors, CASE WHEN n%3 = 0 THEN 1 ELSE CASE WHEN page IS NULL THEN 0 ELSE 1 END END AS n_evidence,
+ CASE WHEN n%3 = 0 THEN 1 ELSE page END AS page, CASE WHEN n%3 = 0 THEN 'own' ELSE block_id END AS block_id, CASE WHEN n%3 = 0 THEN '"model"' ELSE '"' || bbox_source || '"' END AS bbox_source, CASE WHEN n%3 = 0 THEN '"visual"' END AS grounding,
+ CASE WHEN n%4 = 0 THEN 'field-model' ELSE 'run-model' END AS model, CASE WHEN n%4 = 0 THEN '{"method":"majority_vote"}' END AS selection, CASE WHEN n%5 <> 0 THEN 'model_reported' END AS confidence_source, '{"status":"seen"}' AS parser
+ FROM (SELECT *, CAST(substr(document_id, 2) AS BIGINT) AS n FROM canon_best WHERE field_path = 'code')
+UNION ALL SELECT document_id, 'part.head', needle, trim(needle, ' '), NULL, '', CASE WHEN page IS NULL THEN 0 ELSE 1 END, page, block_id, '"' || bbox_source || '"', NULL, 'run-model', NULL, NULL, '{"status":"seen"}' FROM canon_best WHERE field_path = 'head'
+UNION ALL SELECT 'd' || doc_id, 'part.size', '$1,0' || lpad((doc_id%100)::VARCHAR, 2, '0'), (1000 + doc_id%100)::VARCHAR, NULL, '', 0, NULL, NULL, NULL, NULL, 'run-model', NULL, NULL, '{"status":"seen"}' FROM documents""", "canon_best"))
+def _(v):
+    status = F.when(F.col("n") % 10 == 0, "compatibility").otherwise("available")
+    parsers = v.docs.select("document_id", status.alias("parser_status"), F.lit('{"status":"seen"}').alias("parser_json"), F.lit(8).alias("page_count"))
+    out = CO.canonical_output(raw_outputs(v), schema_leaves(v.spark, CANON_SCHEMA), v.blocks, parsers, "pv1", "run-model")
+    e, p = F.get(F.col("evidence"), F.lit(0)), F.col("provenance")
+    return out.select("document_id", "field_path", J.text(F.col("value_json")).alias("value"), J.text(F.col("normalized_json")).alias("normalized"), "confidence", F.array_join("errors", ",").alias("errors"),
+                      F.size("evidence").alias("n_evidence"), e["page"].alias("page"), e["block_id"].alias("block_id"), e["metadata"]["bbox_source"].alias("bbox_source"), e["metadata"]["grounding"].alias("grounding"),
+                      p["model"].alias("model"), p["selection"].alias("selection"), p["confidence_source"].alias("confidence_source"), p["parser"].alias("parser"))
