@@ -1,7 +1,7 @@
 """Incremental and streaming jobs: arrivals, caching, resume, progress, exactly-once scoring."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.ranking import latest
 from ..operators.scoring import score_fields
@@ -47,54 +47,60 @@ def change_revision(changes: DataFrame) -> DataFrame:
     return changes.groupBy("workspace_id").agg(F.count(F.lit(1)).alias("revision"))
 
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table, or None if its folder does not exist yet. Any other trouble in reading it is an error."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        return None
-    return spark.read.parquet(path)
+def _put(df: DataFrame, table: str, batch_id: int) -> None:
+    """Write a batch's rows to its own partition, so that a retried batch replaces itself; Spark sizes the files."""
+    (df.withColumn("batch", F.lit(batch_id)).hint("rebalance").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch").parquet(table))
 
 
-def _put(df: DataFrame, table: str, batch_id: int, *also: str) -> None:
-    """Write a batch's rows to its own partitions, so that a retried batch replaces itself."""
-    (df.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*also, "batch").parquet(table))
+def first_arrivals(arrivals: DataFrame) -> DataFrame:
+    """The earliest row of each ``sha256`` (ties: the smallest row), with ``_first`` and ``_last``, the times of the batches that it arrived in.
+
+    On a stream the state is one row for each hash, kept in Spark's state store for all time: a batch costs what it brings, whatever has been
+    ingested before. Repeats of one hash are combined before they are moved. The time of a batch stands in the stream's log, so a retried batch has the same one.
+    """
+    rows = F.struct(*[F.col(c) for c in arrivals.columns])
+    now = F.unix_micros(F.current_timestamp())
+    kept = arrivals.withColumn("_now", now).groupBy("sha256").agg(F.min_by(rows, F.struct("created_at", F.to_json(rows))).alias("_row"), F.min("_now").alias("_first"), F.max("_now").alias("_last"))
+    return kept.select("_row.*", "_first", "_last")
 
 
 def stream_ingest_dedup(arrivals: DataFrame, table: str, checkpoint: str):
     """Append arriving documents whose content hash is new, for all time; late arrivals are arrivals like any other.
 
-    A batch is reduced to the earliest document of each hash and anti-joined with the table, which is divided by the
-    first two digits of the hash (after an h, so that Spark reads them as text): only the divisions that the batch touches are read.
+    A hash is new in the batch in which its first and last arrival fall together. Each batch adds as many files as its new rows fill.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = latest(batch, ["sha256"], -F.unix_micros("created_at")).withColumn("part", F.concat(F.lit("h"), F.substring("sha256", 1, 2)))
-        known = _read_or_none(batch.sparkSession, table)
-        if known is not None:
-            parts = [r["part"] for r in fresh.select("part").distinct().collect()]  # at most 256
-            seen = known.where(F.col("part").isin(parts) & (F.col("batch") != batch_id)).select("sha256")
-            fresh = fresh.join(seen, "sha256", "left_anti")
-        _put(fresh, table, batch_id, "part")
-    return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        _put(batch.where("_first = _last").drop("_first", "_last"), table, batch_id)
+    return first_arrivals(arrivals).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def landed_documents(predictions: DataFrame) -> DataFrame:
+    """(run_id, document_id, rows): all rows of a document so far. On a stream in update mode, the documents that the batch touches."""
+    rest = [F.col(c) for c in predictions.columns if c not in ("run_id", "document_id")]
+    row = F.struct(F.unix_micros(F.current_timestamp()).alias("landed"), *rest)
+    return predictions.withColumn("_row", row).groupBy("run_id", "document_id").agg(F.collect_set("_row").alias("rows"))
 
 
 def incremental_scoring(predictions: DataFrame, truth: DataFrame, leaves: DataFrame, table: str, checkpoint: str,
                         config: ScoringConfig = ScoringConfig()):
     """Score landing predictions; a document whose fields land in several batches is scored again, whole, each time.
 
-    A row with a null ``field_path`` says that a document was processed; with it, a document without any prediction is
-    scored too. Landed rows are kept beside the table; ``current_scores`` reads each document's last scoring.
+    The rows of a document are state keyed by run and document, so a batch reads and scores the documents that it touches and no others. A field that
+    lands again replaces the earlier one. A row with a null ``field_path`` says that a document was processed; with it, a document without any
+    prediction is scored too. ``current_scores`` reads each document's last scoring.
     """
-    landed = f"{table}-landed"
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        _put(batch, landed, batch_id)
-        rows = spark.read.parquet(landed).where(F.col("batch") <= batch_id)
-        touched = rows.where(F.col("batch") == batch_id).select("run_id", "document_id").distinct()
-        whole = rows.join(touched, ["run_id", "document_id"], "left_semi").drop("batch")
-        _put(score_fields(truth, whole.where("field_path IS NOT NULL"), leaves, config, touched), table, batch_id)
-    return predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        batch = batch.persist()  # the state is read once; a lost executor's part is computed again from the state of the last batch
+        try:
+            fields = batch.select("run_id", "document_id", F.inline("rows")).where("field_path IS NOT NULL")
+            # the last landing of a field; of several in one batch the largest row
+            others = [c for c in fields.columns if c not in ("run_id", "document_id", "field_path")]
+            whole = fields.groupBy("run_id", "document_id", "field_path").agg(F.max(F.struct(*others)).alias("_r")).select("run_id", "document_id", "field_path", "_r.*").drop("landed")
+            _put(score_fields(truth, whole.select(*predictions.columns), leaves, config, batch.select("run_id", "document_id")), table, batch_id)
+        finally:
+            batch.unpersist()
+    return landed_documents(predictions).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_scores(scored: DataFrame) -> DataFrame:
