@@ -146,6 +146,14 @@ class Languages:
         return names, scores
 
 
+DRAWS = 1 << 40
+
+
+def _share(wanted: int, n: int) -> int:
+    """How many of the ``DRAWS`` numbers choose a row, so that of ``n`` rows about ``wanted`` are chosen; never none."""
+    return min(DRAWS, max(1, DRAWS * wanted // n))
+
+
 def _remainder(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
 
@@ -156,9 +164,9 @@ def learn(docs: DataFrame, letters: int = 32_768) -> Languages:
     totals = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not totals:
         return Languages({})
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(1_000_000))
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("doc_id")), F.lit(DRAWS))
     wanted = 8 * letters // EXCERPT
-    share = F.create_map(*[F.lit(x) for k, n in sorted(totals.items()) for x in (k, int(1e6 * min(1.0, wanted / n)))])[F.col("lang")]
+    share = F.create_map(*[F.lit(x) for k, n in sorted(totals.items()) for x in (k, _share(wanted, n))])[F.col("lang")]
     start = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("excerpt")), F.greatest(F.length("text") - EXCERPT, F.lit(1))) + 1
     rows = known.withColumn("draw", draw).where(F.col("draw") < share).select("lang", "draw", "doc_id", F.substring("text", start.cast("int"), F.lit(EXCERPT)).alias("excerpt"))
     samples: dict[str, list[str]] = {}

@@ -62,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: Column | None = None, max_repeats:
 
 def mixture(docs: DataFrame, seed: str = "mix-1", block_tokens: int = 16, shard_tokens: int = 16384, max_shards: int = 1024,
             max_repeats: int = 3, keep: list[str] | None = None) -> DataFrame:
-    """Per document: doc_id, size, source, source_size, target, taken, and the columns named in ``keep``."""
+    """Per document: doc_id, size, source, source_size, target, taken, and the columns named in ``keep``, each behind ``in_``."""
     keep = keep or []
     rows = docs.select(*[F.col(c).alias(f"in_{c}") for c in keep], "doc_id", "source", word_count(F.col("text")).alias("size"),
                        F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.md5(F.col("text")))).alias("draw"))
@@ -90,7 +90,7 @@ def mixture(docs: DataFrame, seed: str = "mix-1", block_tokens: int = 16, shard_
     rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("tape") / F.col("shard_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("tape") - rounds * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("_end"), rest) - F.col("_start"))
-    return rows.select(*[F.col(f"in_{c}").alias(c) for c in keep if c not in ("doc_id", "source")], "doc_id", "source", "size", "source_size", "target",
+    return rows.select(*[f"in_{c}" for c in keep], "doc_id", "source", "size", "source_size", "target",
                        (rounds * F.col("size") + part).cast("long").alias("taken"))
 
 
@@ -104,15 +104,16 @@ def mix_documents(docs: DataFrame, whole_texts: bool = False, **options) -> Data
     cut = F.col("taken") - whole * F.col("size")
     if whole_texts:
         whole, cut = whole + (2 * cut >= F.col("size")).cast("long"), F.lit(0).cast("long")
-    mixed = mixed.withColumn("_take", F.explode(F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))))
-    words = F.split(F.col("text"), rf"(?<=[{SPACE}])(?=[^{SPACE}])")
+    takes = F.concat(F.array_repeat(F.lit(0).cast("long"), whole.cast("int")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))
+    mixed = mixed.select(*[f"in_{c}" for c in columns], F.explode(takes).alias("take"))
+    given = F.col("in_text")
+    words = F.split(given, rf"(?<=[{SPACE}])(?=[^{SPACE}])")
     # text before the first word is a piece of its own
-    lead = F.col("text").rlike(rf"^[{SPACE}]").cast("int")
-    text = F.when(F.col("_take") == 0, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_take").cast("int") + lead), ""))
-    mixed = mixed.withColumn("text", text)
+    lead = given.rlike(rf"^[{SPACE}]").cast("int")
+    mixed = mixed.withColumn("in_text", F.when(F.col("take") == 0, given).otherwise(F.array_join(F.slice(words, 1, F.col("take").cast("int") + lead), "")))
     if "n_chars" in columns:
-        mixed = mixed.withColumn("n_chars", F.when(F.col("_take") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return mixed.select(*columns)
+        mixed = mixed.withColumn("in_n_chars", F.when(F.col("take") == 0, F.col("in_n_chars")).otherwise(F.length("in_text").cast(docs.schema["n_chars"].dataType)))
+    return mixed.select(*[F.col(f"in_{c}").alias(c) for c in columns])
 
 
 MIX_SQL = """

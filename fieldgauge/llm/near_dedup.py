@@ -215,16 +215,18 @@ def dedup(docs: DataFrame, percent: int = 80) -> DataFrame:
     each = verdicts.groupBy("doc_id").agg(F.min("kept").alias("all_kept"), F.max("kept").alias("some_kept"), F.count(F.lit(1)).alias("many"))
     # what goes or needs a look is the smaller part: rows that simply stay match nothing here
     odd = each.where("NOT all_kept OR many > 1").select(F.col("doc_id").alias("_id"), "some_kept")
-    beside = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    single = beside.where("some_kept IS NULL").select(*docs.columns)
+    columns = [f"in_{c}" for c in docs.columns]
+    given = docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns])
+    beside = given.join(odd, F.col("in_doc_id").eqNullSafe(F.col("_id")), "left")
+    single = beside.where("some_kept IS NULL").select(*columns)
 
     def names(texts):
         return {"_name": [class_name(s) for s in shingle_sets(texts)]}
 
-    several = added(beside.where("some_kept").select(*docs.columns), "_name string", lambda: names, ["text"])
+    several = added(beside.where("some_kept").select(*columns), "_name string", lambda: names, ["in_text"])
     stay = verdicts.where("kept AND class_name IS NOT NULL").join(odd, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("class_name").alias("_name"), F.col("group_name").alias("_group")).distinct()
-    several = several.join(stay, "_name", "left").where("_name IS NULL OR _group IS NOT NULL").withColumn("_group", F.coalesce("_group", F.concat(F.lit("text "), F.coalesce("text", F.lit("")))))
-    return single.union(several.dropDuplicates(["doc_id", "_group"]).select(*docs.columns))
+    several = several.join(stay, "_name", "left").where("_name IS NULL OR _group IS NOT NULL").withColumn("_group", F.coalesce("_group", F.concat(F.lit("text "), F.coalesce("in_text", F.lit("")))))
+    return single.union(several.dropDuplicates(["in_doc_id", "_group"]).select(*columns)).toDF(*docs.columns)
 
 
 DEDUP_SQL = r"""

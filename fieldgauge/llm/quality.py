@@ -183,7 +183,7 @@ def judge(docs: DataFrame, labels: DataFrame, min_words: int = 20, repeat_percen
     ends = chosen.agg(*[f(c) for f in (F.min, F.max) for c in SHARES]).first()
     for kind, n in kinds.items():
         if n > sample_rows:
-            chosen = chosen.where(~good_label.eqNullSafe(F.lit(kind).cast("boolean")) | (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * sample_rows / n)))
+            chosen = chosen.where(~good_label.eqNullSafe(F.lit(kind).cast("boolean")) | (F.pmod(F.xxhash64("_id"), F.lit(1 << 40)) < max(1, (sample_rows << 40) // n)))
     sample = chosen.orderBy("_id", *SHARES).toPandas()
     points, good = sample[SHARES].to_numpy(float), sample["quality"].to_numpy(float) > 0
     box = np.array(ends, float).reshape(2, -1) if len(points) else np.zeros((2, len(SHARES)))
