@@ -1,7 +1,7 @@
 """Page layout: line blocks, boxes, tables, evidence and citations. A page's blocks are few by nature."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import jsonvals as J, text as T
 from .ranking import ranked
@@ -112,49 +112,45 @@ def usable_table_box(bbox: Column, rows: Column) -> Column:
     return F.coalesce((bbox[2] - bbox[0] >= 0.35) & (bbox[3] - bbox[1] >= need), F.lit(False))
 
 
-INFERRED = "document_id string, page int, source_index int, bbox array<double>"
-
-
-def _place_tables(pdf):
-    """Boxes for one page's unboxed tables: each follows the block before it and stays above the one after it."""
-    import bisect
-
-    import pandas as pd
-    pdf = pdf.sort_values("source_index")
-    solid = pdf[pdf["solid"]]
-    spans = sorted((int(i), b[1], b[3]) for i, b in zip(solid["source_index"], solid["bbox"]))
-    tables = solid[solid["is_table"]]
-    per_row = [(b[3] - b[1]) / r for b, r in zip(tables["bbox"], tables["rows"]) if b[3] > b[1]]
-    line = min(0.028, max(0.012, sum(per_row) / len(per_row) if per_row else 0.018))
-    loose = pdf[pdf["is_table"] & ~pdf["solid"]]
-    hints = [(int(i), None if b is None else b[1]) for i, b in zip(loose["source_index"], loose["bbox"])]
-    out = []
-    for n, ((index, hint), rows) in enumerate(zip(hints, loose["rows"])):
-        at = bisect.bisect_left(spans, (index,))
-        floor = spans[at - 1][2] + 0.018 if at else 0.06
-        top = min(0.92, max(0.04, floor, hint or floor))
-        limits = [top + max(0.06, rows * line)]
-        after = bisect.bisect_left(spans, (index + 1,))
-        limits += [spans[after][1] - 0.018] if after < len(spans) else []
-        limits += [h - 0.018 for _, h in hints[n + 1:] if h is not None][:1]
-        bottom = max(top + 0.06, min(0.96, min(limits)))
-        bisect.insort(spans, (index, round(top, 4), round(bottom, 4)))
-        out.append((pdf["document_id"].iloc[0], int(pdf["page"].iloc[0]), index, [0.035, round(top, 4), 0.965, round(bottom, 4)]))
-    return pd.DataFrame(out, columns=["document_id", "page", "source_index", "bbox"])
+GAP = 0.018
 
 
 def infer_table_boxes(items: DataFrame) -> DataFrame:
-    """Estimated boxes for tables without a usable one; placement depends on order within the page.
+    """Estimated boxes for tables without a usable one: each below what stands before it on the page, above what stands after it.
 
-    ``items``: (document_id, page, source_index, is_table, text, bbox). Pages without such a table are not grouped,
-    and only box coordinates and row counts reach the Python workers.
+    ``items``: (document_id, page, source_index, is_table, text, bbox). Windows over a page's items give each such table its solid neighbours,
+    the next table's hint (the top of its unusable box) and the page's mean height of a table row; one fold over the page's few loose tables
+    places them in order, since a placed table stands before the next one. Pages without such a table are not grouped.
     """
     rows = F.when(F.col("is_table"), markdown_row_count(F.col("text"))).otherwise(1)
     shaped = items.select(*PAGE, "source_index", "is_table", rows.alias("rows"), "bbox")
     solid = F.when(F.col("is_table"), usable_table_box(F.col("bbox"), F.col("rows"))).otherwise(F.col("bbox").isNotNull())
     shaped = shaped.withColumn("solid", solid).where(F.col("is_table") | F.col("solid"))
     wanted = shaped.where("is_table and not solid").select(*PAGE).distinct()
-    return shaped.join(wanted, PAGE, "left_semi").groupBy(*PAGE).applyInPandas(_place_tables, INFERRED)
+    b, i, on_page = F.col("bbox"), F.col("source_index"), Window.partitionBy(*PAGE)
+    before = on_page.orderBy(i.cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    after = on_page.orderBy(i.cast("long").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    span = F.when(F.col("solid"), F.struct(i.alias("index"), b[1].alias("top"), b[3].alias("bottom")))
+    hint = F.when(~F.col("solid") & b.isNotNull(), F.struct(i.alias("index"), b[1].alias("top")))
+    height = F.when(F.col("is_table") & F.col("solid") & (b[3] > b[1]), (b[3] - b[1]) / F.col("rows"))
+    near = shaped.join(wanted, PAGE, "left_semi").select(
+        *PAGE, "source_index", "solid", "rows", hint["top"].alias("hint"), F.max(span).over(before).alias("previous"), F.min(span).over(after)["top"].alias("next_top"),
+        F.min(hint).over(after)["top"].alias("next_hint"), F.avg(height).over(on_page).alias("height"))
+    line = F.least(F.lit(0.028), F.greatest(F.lit(0.012), F.coalesce("height", F.lit(0.018))))
+    loose = near.where(~F.col("solid")).select(*PAGE, F.struct("source_index", "hint", "rows", line.alias("line"), "previous", "next_top", "next_hint").alias("t"))
+
+    def place(state, t):
+        placed = F.when(state["index"].isNotNull() & (t["previous"].isNull() | (state["index"] >= t["previous"]["index"])), state["bottom"]).otherwise(t["previous"]["bottom"])
+        floor = F.coalesce(placed + GAP, F.lit(0.06))
+        top = F.least(F.lit(0.92), F.greatest(F.lit(0.04), floor, F.coalesce(t["hint"], floor)))
+        limit = F.least(top + F.greatest(F.lit(0.06), t["rows"] * t["line"]), t["next_top"] - GAP, t["next_hint"] - GAP)
+        bottom = F.greatest(top + 0.06, F.least(F.lit(0.96), limit))
+        box = F.struct(t["source_index"].alias("source_index"), F.array(F.lit(0.035), F.round(top, 4), F.lit(0.965), F.round(bottom, 4)).alias("bbox"))
+        return F.struct(t["source_index"].cast("int").alias("index"), F.round(bottom, 4).alias("bottom"), F.concat(state["boxes"], F.array(box)).alias("boxes"))
+    kind = dict(items.dtypes)["source_index"]
+    start = F.expr(f"named_struct('index', cast(null as int), 'bottom', cast(null as double), 'boxes', cast(array() as array<struct<source_index:{kind},bbox:array<double>>>))")
+    folded = loose.groupBy(*PAGE).agg(F.array_sort(F.collect_list("t")).alias("tables"))
+    return folded.select(*PAGE, F.inline(F.aggregate("tables", start, place, lambda x: x["boxes"])))
 
 
 def match_grounding_items(items: DataFrame, grounded: DataFrame) -> DataFrame:

@@ -89,9 +89,34 @@ def layout_items(v):
                            F.when(i % 4 != 0, F.col("bbox")).alias("bbox"), F.when(i % 3 == 0, "table").otherwise("text").alias("block_type"))
 
 
-@query("infer_table_boxes")
+MD_ROWS = r"greatest(1, len(list_filter(string_split(text, chr(10)), lambda r: contains(r, '|') AND NOT regexp_full_match(trim(r), '[|:\-\s]*'))))"
+# items -> the boxes of tables without a usable one, placed one after the other
+CTES["titems"] = (("blocks",), f"""SELECT document_id, page, source_index AS idx, source_index%3 = 0 AS tb, CASE WHEN source_index%3 = 0 THEN {MD_ROWS} ELSE 1 END AS r, CASE WHEN source_index%4 <> 0 THEN x0 END AS x0,
+ CASE WHEN source_index%4 <> 0 THEN y0 END AS y0, CASE WHEN source_index%4 <> 0 THEN x1 END AS x1, CASE WHEN source_index%4 <> 0 THEN y1 END AS y1 FROM blocks""")
+
+
+def infer_ctes(items: str, name: str) -> None:
+    """The placement as a recursion over a page's loose tables, in order; ``items`` names the CTE of the page's items."""
+    CTES[f"{name}_s"] = ((items,), f"SELECT *, coalesce(CASE WHEN tb THEN x1 - x0 >= 0.35 AND y1 - y0 >= greatest(0.035, least(0.18, r*0.014::DOUBLE)) ELSE x0 IS NOT NULL END, false) AS solid FROM {items}")
+    CTES[f"{name}_l"] = ((f"{name}_s",), f"""SELECT t.document_id, t.page, t.idx, t.r, t.y0 AS hint, row_number() OVER (PARTITION BY t.document_id, t.page ORDER BY t.idx) AS k,
+ (SELECT max({{'i': idx, 't': y0, 'b': y1}}) FROM {name}_s p WHERE p.document_id = t.document_id AND p.page = t.page AND p.solid AND p.idx < t.idx) AS prev,
+ (SELECT min({{'i': idx, 't': y0}}).t FROM {name}_s p WHERE p.document_id = t.document_id AND p.page = t.page AND p.solid AND p.idx > t.idx) AS next_top,
+ (SELECT min({{'i': idx, 't': y0}}).t FROM {name}_s p WHERE p.document_id = t.document_id AND p.page = t.page AND p.tb AND NOT p.solid AND p.y0 IS NOT NULL AND p.idx > t.idx) AS next_hint,
+ least(0.028, greatest(0.012, coalesce((SELECT avg((y1 - y0)/r) FROM {name}_s p WHERE p.document_id = t.document_id AND p.page = t.page AND p.tb AND p.solid AND y1 > y0), 0.018)))::DOUBLE AS line
+ FROM {name}_s t WHERE t.tb AND NOT t.solid""")
+    floor = "coalesce(CASE WHEN q.idx IS NOT NULL AND (l.prev IS NULL OR q.idx >= l.prev.i) THEN q.bottom ELSE l.prev.b END + 0.018::DOUBLE, 0.06::DOUBLE)"
+    step = lambda source: f"""SELECT document_id, page, idx, k, round(top, 4) AS top, round(greatest(top + 0.06::DOUBLE, least(0.96::DOUBLE, top + greatest(0.06::DOUBLE, r*line), coalesce(next_top - 0.018::DOUBLE, 9), coalesce(next_hint - 0.018::DOUBLE, 9))), 4) AS bottom
+ FROM (SELECT l.*, least(0.92::DOUBLE, greatest(0.04::DOUBLE, {floor}, coalesce(l.hint, {floor}))) AS top FROM {source})"""
+    CTES[name] = ((f"{name}_l",), f"""SELECT * FROM (WITH RECURSIVE z AS ({step(f"{name}_l l LEFT JOIN (SELECT NULL::BIGINT AS idx, NULL::DOUBLE AS bottom) q ON true WHERE l.k = 1")}
+ UNION ALL {step(f"{name}_l l JOIN z q ON q.document_id = l.document_id AND q.page = l.page AND l.k = q.k + 1")}) SELECT * FROM z)""")
+
+
+infer_ctes("titems", "inferred")
+
+
+@query("infer_table_boxes", sql("SELECT document_id, page, idx AS source_index, top, bottom FROM inferred", "inferred"))
 def _(v):
-    return L.infer_table_boxes(layout_items(v))
+    return L.infer_table_boxes(layout_items(v)).select("document_id", "page", "source_index", F.col("bbox")[1].alias("top"), F.col("bbox")[3].alias("bottom"))
 
 
 @query("match_grounding_items", sql("""SELECT i.document_id, i.page, i.source_index, coalesce(CASE WHEN i.source_index%4 <> 0 THEN i.source_index END, t.m) AS grounded_index FROM blocks i
