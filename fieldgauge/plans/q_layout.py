@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsonvals as J, text as T
-from ..operators import layout as L, benchmark as B, canonical as CO
+from ..operators import layout as L, benchmark as B, canonical as CO, pages as PG
 from ..schema import schema_leaves
 from .q_diagnose import pages
 from .registry import query
@@ -304,3 +304,45 @@ def _(v):
     return out.select("document_id", "field_path", J.text(F.col("value_json")).alias("value"), J.text(F.col("normalized_json")).alias("normalized"), "confidence", F.array_join("errors", ",").alias("errors"),
                       F.size("evidence").alias("n_evidence"), e["page"].alias("page"), e["block_id"].alias("block_id"), e["metadata"]["bbox_source"].alias("bbox_source"), e["metadata"]["grounding"].alias("grounding"),
                       p["model"].alias("model"), p["selection"].alias("selection"), p["confidence_source"].alias("confidence_source"), p["parser"].alias("parser"))
+
+
+# ---- pages from four raw sources ----------------------------------------------------------------------
+def page_sources(v):
+    """Pages by page % 4: items and grounded lines (1), items alone (2), markdown (3), plain text (0). Boxes are in units of a 100 x 200 page.
+
+    Of the items, every third is a table (one in four of them without a box), the next a list, the rest are paragraphs; on pages of kind 1 the
+    sidecar cuts each paragraph into one line, and boxes one table in five by its cells.
+    """
+    b = v.blocks.withColumn("g", F.col("page") % 4)
+    i, size = F.col("source_index"), [F.lit(100.0).alias("page_width"), F.lit(200.0).alias("page_height")]
+    top = F.col("line") * 4.0
+    b = b.withColumn("line", i % 40)
+    kind = F.when(i % 3 == 0, "table").when(i % 3 == 1, "list_item").otherwise("paragraph")
+    box = F.when((i % 4 != 0) | (i % 3 != 0), F.array(F.lit(5.0), 10 + top, F.lit(95.0), 20 + top))
+    items = b.where("g in (1, 2)").select("document_id", "page", *size, "source_index", kind.alias("type"), "text", box.alias("bbox"))
+    rect = F.array(F.struct(F.lit(10.0).alias("x"), (10 + top).alias("y"), F.lit(50.0).alias("w"), F.lit(2.0).alias("h")))
+    lines = F.when(i % 3 == 2, F.array(F.struct(F.lit(0).alias("start"), F.length("text").alias("end"), rect.alias("rects"))))
+    cells = F.when((i % 3 == 0) & (i % 5 == 0), F.array(F.lit(1.0), 10 + top, F.lit(99.0), 30 + top))
+    grounded = b.where("g = 1").select("document_id", "page", *size, "source_index", kind.alias("type"), "text", lines.alias("lines"), cells.alias("bbox"))
+    page = b.select("document_id", "page", "g").distinct()
+    return items, page.where("g in (1, 3)").select("document_id", "page", F.lit("first\n\n second ").alias("markdown")), page.where("g in (0, 3)").select("document_id", "page", F.lit("only").alias("text")), grounded
+
+
+CTES["pitems"] = (("blocks",), """SELECT document_id, page, page%4 AS g, source_index AS idx, text, source_index%3 AS m, 10 + (source_index%40)*4 AS t,
+ CASE WHEN source_index%3 = 0 THEN 'table' WHEN source_index%3 = 1 OR regexp_matches(text, '^\\s*([-*+•‣◦▪]|\\d+[.)])(\\s|$)') THEN 'list' ELSE 'text' END AS block_type FROM blocks""".replace("\\\\", "\\"))
+CTES["pspans"] = (("pitems",), f"""SELECT document_id, page, idx, m = 0 AS tb, CASE WHEN m = 0 THEN {MD_ROWS} ELSE 1 END AS r, CASE WHEN m <> 0 THEN 0.1 WHEN idx%4 <> 0 THEN 0.05 END::DOUBLE AS x0, CASE WHEN m <> 0 OR idx%4 <> 0 THEN round(least(1, t/200::DOUBLE), 4) END AS y0,
+ CASE WHEN m <> 0 THEN 0.6 WHEN idx%4 <> 0 THEN 0.95 END::DOUBLE AS x1, CASE WHEN m <> 0 THEN round(least(1, (t + 2)/200::DOUBLE), 4) WHEN idx%4 <> 0 THEN round(least(1, (t + 10)/200::DOUBLE), 4) END AS y1
+ FROM pitems WHERE g IN (1, 2) AND (m = 0 OR (m = 2 AND g = 1))""")
+infer_ctes("pspans", "pinferred")
+CTES["pblocks"] = (("pitems", "pinferred"), """SELECT document_id, page, block_type, 'p' || page || '-g' || (idx + 1) || '-1' AS block_id, text, round(least(1, t/200::DOUBLE), 4) AS top, round(least(1, (t + 2)/200::DOUBLE), 4) AS bottom, 'grounding' AS bbox_source FROM pitems WHERE g = 1 AND m = 2
+ UNION ALL SELECT p.document_id, p.page, 'table', 'p' || p.page || '-t' || (p.idx + 1), text, coalesce(f.top, round(least(1, t/200::DOUBLE), 4)), coalesce(f.bottom, CASE WHEN g = 1 AND p.idx%5 = 0 THEN round(least(1, (t + 20)/200::DOUBLE), 4) ELSE round(least(1, (t + 10)/200::DOUBLE), 4) END),
+  CASE WHEN f.idx IS NOT NULL THEN 'inferred' WHEN g = 1 AND p.idx%5 = 0 THEN 'grounding' ELSE 'item' END FROM pitems p LEFT JOIN pinferred f ON f.document_id = p.document_id AND f.page = p.page AND f.idx = p.idx WHERE g IN (1, 2) AND m = 0
+ UNION ALL SELECT document_id, page, 'list', 'p' || page || '-l' || (idx + 1), text, round(least(1, t/200::DOUBLE), 4), round(least(1, (t + 10)/200::DOUBLE), 4), 'item' FROM pitems WHERE g IN (1, 2) AND block_type = 'list' AND NOT (g = 1 AND m = 2)""")
+
+
+@query("merge_page_sources", sql("""SELECT document_id, page, block_id, block_type, top, bottom, bbox_source FROM pblocks
+ UNION ALL SELECT document_id, page, 'p' || page || '-b' || (idx + 1), block_type, round(least(1, t/200::DOUBLE), 4), round(least(1, (t + 10)/200::DOUBLE), 4), 'item' FROM pitems p WHERE g = 2 AND NOT EXISTS (SELECT 1 FROM pblocks b WHERE b.document_id = p.document_id AND b.page = p.page)
+ UNION ALL SELECT document_id, page, 'p' || page || '-b' || i, 'text', CASE i WHEN 1 THEN 0.06 ELSE 0.48 END::DOUBLE, CASE i WHEN 1 THEN 0.1 ELSE 0.52 END::DOUBLE, 'synthetic' FROM (SELECT DISTINCT document_id, page, g FROM pitems WHERE g IN (0, 3)) CROSS JOIN (VALUES (1),(2)) x(i) WHERE g = 3 OR i = 1""", "pblocks", "pitems"))
+def _(v):
+    out = PG.merge_page_sources(*page_sources(v))
+    return out.select("document_id", "page", "block_id", "block_type", F.col("bbox")[1].alias("top"), F.col("bbox")[3].alias("bottom"), "bbox_source")
