@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialized
 from . import layout as L
 from .layout import LINE_BREAK, PAGE, strip
 
@@ -56,12 +57,12 @@ def merge_page_sources(items: DataFrame, markdown: DataFrame, text: DataFrame, g
     It is left out if it has neither text nor box, or if a grounded block of the page is the same table. A list is left out if its sidecar item was cut into lines.
     A page without any such block shows its items; one without items its markdown, else its text.
     """
-    pages = aligned_pages(items, markdown, text, grounded)
+    pages = materialized(aligned_pages(items, markdown, text, grounded), "pages")
     sizes = pages.select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height"))
     known = grounded.where("source_index IS NOT NULL").drop("page_width", "page_height").join(sizes, PAGE)
     cut = L.grounded_line_blocks(known)
-    lines = cut.select(*PAGE, F.format_string("p%d-g%d-%d", F.col("page").cast("int"), F.col("source_index") + 1, F.col("line_index") + 1).alias("block_id"), "block_type", "text", "bbox",
-                       F.lit("grounding").alias("bbox_source"), F.col("source_index").cast("int").alias("source_index"), F.col("line_index").cast("int").alias("line_index"))
+    lines = materialized(cut.select(*PAGE, F.format_string("p%d-g%d-%d", F.col("page").cast("int"), F.col("source_index") + 1, F.col("line_index") + 1).alias("block_id"), "block_type", "text", "bbox",
+                       F.lit("grounding").alias("bbox_source"), F.col("source_index").cast("int").alias("source_index"), F.col("line_index").cast("int").alias("line_index")), "page-lines")
 
     shaped = items.where("source_index IS NOT NULL").drop("page_width", "page_height").join(sizes, PAGE)
     words = F.coalesce("text", F.lit(""))
@@ -70,6 +71,7 @@ def merge_page_sources(items: DataFrame, markdown: DataFrame, text: DataFrame, g
     side = known.select(*PAGE, "source_index", L.block_type_map(F.col("type"), F.coalesce("text", F.lit(""))).alias("block_type"), F.coalesce("text", F.lit("")).alias("text"),
                         unit_box(F.col("bbox"), F.col("page_width"), F.col("page_height")).alias("cells"), (F.coalesce(F.size("lines"), F.lit(0)) > 0).alias("lined"))
     matched = L.match_grounding_items(shaped, side).join(side.select(*PAGE, F.col("source_index").alias("grounded_index"), "cells", "lined"), [*PAGE, "grounded_index"], "left")
+    matched = materialized(matched, "page-items")  # tables, lists and the rest are taken from it
 
     # grounded blocks are neighbours too; several lines of one item count as one span
     spans = lines.groupBy(*PAGE, "source_index").agg(F.min(F.col("bbox")[0]).alias("a"), F.min(F.col("bbox")[1]).alias("b"), F.max(F.col("bbox")[2]).alias("c"), F.max(F.col("bbox")[3]).alias("d"))
@@ -85,12 +87,12 @@ def merge_page_sources(items: DataFrame, markdown: DataFrame, text: DataFrame, g
                                 F.when(F.col("inferred").isNotNull(), "inferred").when(F.col("cells").isNotNull(), "grounding").otherwise("item").alias("bbox_source"), "source_index", none)
     listed = matched.where("block_type = 'list' AND NOT coalesce(lined, false) AND text <> ''")
     list_blocks = listed.select(*PAGE, numbered("l"), "block_type", L.list_text(F.col("text")).alias("text"), "bbox", F.when(F.col("bbox").isNotNull(), "item").alias("bbox_source"), "source_index", none)
-    blocks = lines.unionByName(table_blocks).unionByName(list_blocks)
+    blocks = materialized(lines.unionByName(table_blocks).unionByName(list_blocks), "page-blocks")
 
     with_blocks = blocks.select(*PAGE).distinct()
     at = F.least(F.lit(0.84), F.col("source_index") * 0.05)
     default = F.array(F.lit(0.06), F.round(0.06 + at, 4), F.lit(0.94), F.round(0.1 + at, 4))
-    rest = shaped.where("text <> ''").join(with_blocks, PAGE, "left_anti")
+    rest = matched.where("text <> ''").join(with_blocks, PAGE, "left_anti")
     item_blocks = rest.select(*PAGE, numbered("b"), "block_type", "text", F.coalesce("bbox", default).alias("bbox"), F.when(F.col("bbox").isNotNull(), "item").otherwise("synthetic").alias("bbox_source"), "source_index", none)
     blocks = blocks.unionByName(item_blocks)
     content = F.when(F.coalesce("markdown", F.lit("")) != "", F.col("markdown")).otherwise(F.coalesce("text", F.lit("")))

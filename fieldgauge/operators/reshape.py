@@ -10,30 +10,48 @@ from .validate import with_leaf
 NONE = "array<struct<key:string,value:string>>"
 
 
-def _descend(df: DataFrame, keys: list[str], value: str, stop: Column | None, max_depth: int) -> DataFrame:
+def nesting(v: Column) -> Column:
+    """How many objects stand inside each other in a JSON text, arrays not entered: one fold over its braces with a state of three numbers."""
+    marks = F.filter(F.regexp_extract_all(v, F.lit(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]]'), F.lit(0)), lambda t: ~F.startswith(t, F.lit('"')))
+    start = F.struct(F.lit(0).alias("objects"), F.lit(0).alias("arrays"), F.lit(0).alias("most"))
+
+    def step(s, t):
+        arrays = s["arrays"] + F.when(t == "[", 1).when(t == "]", -1).otherwise(0)
+        objects = s["objects"] + F.when(s["arrays"] > 0, 0).when(t == "{", 1).when(t == "}", -1).otherwise(0)
+        return F.struct(objects.alias("objects"), arrays.alias("arrays"), F.greatest(s["most"], objects).alias("most"))
+    return F.coalesce(F.aggregate(marks, start, step, lambda s: s["most"]), F.lit(0))
+
+
+def _descend(df: DataFrame, keys: list[str], value: str, stop: Column | None, max_depth: int | None) -> DataFrame:
     """Explode object members level by level in one narrow pass; a leaf passes through every level unchanged.
 
-    Members are addressed by dotted paths. An object below ``max_depth`` fails the job instead of being cut.
+    Members are addressed by dotted paths. Without ``max_depth`` the deepest value is measured first, in one aggregation, and there are as many
+    levels; with it, an object further down fails the job instead of being cut.
     """
+    levels = max_depth
+    if levels is None:
+        levels = df.agg(F.max(nesting(F.col(value)))).first()[0] or 0
     cur = df.select(*keys, F.lit("").alias("field_path"), F.col(value).alias("v"))
-    for _ in range(max_depth):
+    for _ in range(levels):
         inner = (J.kind(F.col("v")) == "object") & (~stop if stop is not None else F.lit(True))
         same = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("v").alias("value")))
         cur = cur.select(*keys, "field_path", F.explode(F.when(inner, J.members(F.col("v"))).otherwise(same)).alias("m"))
         path = (F.when(F.col("m.key").isNull(), F.col("field_path")).when(F.col("field_path") == "", F.col("m.key"))
                 .otherwise(F.concat_ws(".", "field_path", "m.key")))
         cur = cur.select(*keys, path.alias("field_path"), F.col("m.value").alias("v"))
-    deeper = (J.kind(F.col("v")) == "object") & (~stop if stop is not None else F.lit(True))
-    guard = F.when(deeper, F.raise_error(F.lit(f"value nested deeper than {max_depth} levels")).cast("string"))
-    return cur.where("field_path <> ''").where(F.coalesce(guard, F.lit("")) == "")
+    if max_depth is not None:
+        deeper = (J.kind(F.col("v")) == "object") & (~stop if stop is not None else F.lit(True))
+        guard = F.when(deeper, F.raise_error(F.lit(f"value nested deeper than {max_depth} levels")).cast("string"))
+        cur = cur.where(F.coalesce(guard, F.lit("")) == "")
+    return cur.where("field_path <> ''")
 
 
-def flatten_values(df: DataFrame, keys: list[str], value: str, max_depth: int = 4) -> DataFrame:
-    """(keys, field_path, value_json): dotted leaf paths of nested values; arrays stay whole, empty objects vanish."""
+def flatten_values(df: DataFrame, keys: list[str], value: str, max_depth: int | None = None) -> DataFrame:
+    """(keys, field_path, value_json): dotted leaf paths of nested values of any depth; arrays stay whole, empty objects vanish."""
     return _descend(df, keys, value, None, max_depth).select(*keys, "field_path", J.canonical(F.col("v")).alias("value_json"))
 
 
-def flatten_predictions(df: DataFrame, keys: list[str], value: str, max_depth: int = 4) -> DataFrame:
+def flatten_predictions(df: DataFrame, keys: list[str], value: str, max_depth: int | None = None) -> DataFrame:
     """Like flatten_values but an object holding a ``value`` member is one field; adds its unwrapped columns."""
     wrapped = F.contains("v", F.lit('"value"')) & J.member(F.col("v"), "value").isNotNull()
     flat = _descend(df, keys, value, wrapped, max_depth)

@@ -25,7 +25,7 @@ CTES["flat"] = ((), rf"""SELECT 'o' || o_orderkey AS document_id, o_orderkey AS
 
 @query("flatten_values", sql("SELECT document_id, field_path, value_json FROM flat", "flat"))
 def _(v):
-    return R.flatten_values(nested(v), ["document_id"], "value", 2)
+    return R.flatten_values(nested(v), ["document_id"], "value")
 
 
 def wrapped(v):
@@ -41,7 +41,7 @@ UNWRAP_SQL = """SELECT 'o' || o_orderkey AS document_id, 'total' AS field_path,
 
 @query("flatten_predictions", UNWRAP_SQL)
 def _(v):
-    return R.flatten_predictions(wrapped(v), ["document_id"], "value", 2).select("document_id", "field_path", "value_json", "confidence", F.array_join("errors", ",").alias("errors"))
+    return R.flatten_predictions(wrapped(v), ["document_id"], "value").select("document_id", "field_path", "value_json", "confidence", F.array_join("errors", ",").alias("errors"))
 
 
 @query("unwrap_fields", "SELECT document_id, value_json, confidence, errors FROM (" + UNWRAP_SQL + ") WHERE field_path = 'total'")

@@ -40,8 +40,8 @@ def mapping_problems(headers: list[str], mapping: dict[str, str], filename_colum
     return found
 
 
-def annotations_json_import(spark: SparkSession, path: str, depth: int = 4) -> DataFrame:
-    """(filename, field_path, value_json) from files holding ``{relative file: {field: expected}}``."""
+def annotations_json_import(spark: SparkSession, path: str, depth: int | None = None) -> DataFrame:
+    """(filename, field_path, value_json) from files holding ``{relative file: {field: expected}}``, fields nested to any depth."""
     whole = spark.read.text(path, wholetext=True)
     entries = whole.select(F.explode(J.members(F.col("value"))).alias("m")).select(F.col("m.key").alias("filename"), F.col("m.value").alias("v"))
     return flatten_values(entries, ["filename"], "v", depth)

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldgauge import schema_leaves
-from fieldgauge.operators import canonical, consensus
+from fieldgauge.operators import canonical, consensus, layout, pages, reshape
+from fieldgauge.sources import annotations
 from fieldgauge.streaming import jobs
 
 SCHEMA = {"type": "object", "properties": {"total": {"type": "number"}, "name": {"type": "string"}, "rows": {"type": "array"}, "count": {"type": "string"}}}
@@ -105,3 +106,54 @@ def test_a_batch_scores_what_it_touches(spark, tmp_path):
     assert sorted(map(sorted, touched.values())) in ([["x", "y"], ["y", "z"]],)
     got = {(r["document_id"], r["field_path"]): r["status"] for r in jobs.current_scores(table).collect()}
     assert got["x", "a"] == "correct" and got["z", "a"] == "missing" and len(got) == 6
+
+
+def test_any_depth(spark, tmp_path):
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": 1, "i": {}}, "j": [{"k": {"l": {"m": {"n": 2}}}}]}}}}}}, "z": 'quote " and {brace', "n": None}
+    want = {("a.b.c.d.e.f.g.h", "1"), ("a.b.c.d.e.f.j", '[{"k":{"l":{"m":{"n":2}}}}]'), ("z", '"quote \\" and {brace"'), ("n", "null")}
+    rows = spark.createDataFrame([(1, json.dumps(deep)), (2, "{}"), (3, None), (4, "5")], "k int, v string")
+    got = reshape.flatten_values(rows, ["k"], "v").collect()
+    assert {(r["field_path"], r["value_json"]) for r in got} == want and {r["k"] for r in got} == {1}
+    assert [r[0] for r in rows.orderBy("k").select(reshape.nesting(F.col("v"))).collect()] == [9, 1, 0, 0]
+    with pytest.raises(Exception, match="nested deeper"):
+        reshape.flatten_values(rows, ["k"], "v", 7).collect()
+    wrapped = spark.createDataFrame([(1, json.dumps({"a": {"b": {"c": {"d": {"e": {"value": {"x": 1}, "confidence": 0.5}}}}}}))], "k int, v string")
+    assert [(r["field_path"], r["value_json"], r["confidence"]) for r in reshape.flatten_predictions(wrapped, ["k"], "v").collect()] == [("a.b.c.d.e", '{"x":1}', 0.5)]
+    (tmp_path / "one.json").write_text(json.dumps({"file.pdf": deep}))
+    assert {(r["filename"], r["field_path"], r["value_json"]) for r in annotations.annotations_json_import(spark, str(tmp_path)).collect()} == {("file.pdf", *w) for w in want}
+
+
+def page_inputs(spark, items=(), markdown=(), text=(), grounded=()):
+    base = "document_id string, page int, "
+    size = base + "page_width double, page_height double, source_index int, type string, text string, "
+    return (spark.createDataFrame(list(items), size + "bbox array<double>"), spark.createDataFrame(list(markdown), base + "markdown string"), spark.createDataFrame(list(text), base + "text string"),
+            spark.createDataFrame(list(grounded), size + "lines array<struct<start:int,end:int,rects:array<struct<x:double,y:double,w:double,h:double>>>>, bbox array<double>"))
+
+
+def test_pages_from_four_sources(spark):
+    line = [(0, 5, [(10.0, 20.0, 30.0, 10.0)])]
+    given = page_inputs(
+        spark,
+        items=[("d", 1, 100.0, 200.0, 0, "text", "hello", None), ("d", 1, 100.0, 200.0, 1, "table", "|a|\n|b|", [5.0, 40.0, 95.0, 80.0]), ("d", 1, 100.0, 200.0, 2, "table", "", None),
+               ("d", 1, 100.0, 200.0, 3, "list", "- one", [0.1, 0.6, 0.9, 0.7]), ("d", 1, 100.0, 200.0, 4, "list", "two", None), ("d", 1, 100.0, 200.0, 5, "table", "same", None),
+               ("d", 2, None, None, 0, "text", "alone", None), ("d", 2, None, None, 1, "text", "", [0.0, 0.0, 1.0, 1.0]), ("d", 3, None, None, None, None, None, None)],
+        markdown=[("d", 1, "not shown"), ("d", 3, ""), ("d", 4, "m1\n m2")], text=[("d", 3, "t1"), ("d", 5, None)],
+        grounded=[("d", 1, 100.0, 200.0, 0, "text", "hello", line, None), ("d", 1, 100.0, 200.0, 4, "list", "two", line, None), ("d", 1, 100.0, 200.0, 5, "table", "same!", [(0, 4, [(10.0, 150.0, 30.0, 10.0)])], None)])
+    known = {r["page"]: (r["sources"], r["width"], r["height"]) for r in pages.aligned_pages(*given).collect()}
+    assert known == {1: (11, 100.0, 200.0), 2: (1, 1.0, 1.0), 3: (7, 1.0, 1.0), 4: (2, 1.0, 1.0), 5: (4, 1.0, 1.0)}
+    got = {}
+    for r in pages.merge_page_sources(*given).orderBy("page", "position").collect():
+        got.setdefault(r["page"], []).append((r["block_id"], r["block_type"], r["text"], r["bbox_source"]))
+    assert sorted(got) == [1, 2, 3, 4]
+    assert {("p1-g1-1", "text", "hello", "grounding"), ("p1-t2", "table", "|a|\n|b|", "item"), ("p1-t3", "table", "Table", "inferred"), ("p1-l4", "list", "- one", "item")} < set(got[1])
+    assert not any(b[0] == "p1-t6" or b[0] == "p1-l5" for b in got[1])  # a grounded block is the same table; the list was cut into lines
+    assert got[2] == [("p2-b1", "text", "alone", "synthetic")] and [b[2] for b in got[3]] == ["t1"] and [b[2] for b in got[4]] == ["m1", "m2"]
+    assert pages.merge_page_sources(*page_inputs(spark)).count() == 0
+
+
+def test_tables_are_placed_in_order(spark):
+    items = [("d", 1, 0, False, "head", [0.1, 0.05, 0.9, 0.1]), ("d", 1, 1, True, "|a|\n|b|\n|c|", None), ("d", 1, 2, True, "|a|", [0.1, 0.3, 0.15, 0.31]), ("d", 1, 3, True, "|a|", None),
+             ("d", 1, 4, False, "foot", [0.1, 0.5, 0.9, 0.6]), ("d", 2, 0, True, "|a|", [0.0, 0.0, 1.0, 0.5])]
+    out = layout.infer_table_boxes(spark.createDataFrame(items, "document_id string, page int, source_index int, is_table boolean, text string, bbox array<double>")).collect()
+    got = {r["source_index"]: (r["bbox"][1], r["bbox"][3]) for r in out}
+    assert got == {1: (0.118, 0.178), 2: (0.3, 0.36), 3: (0.378, 0.438)} and {r["page"] for r in out} == {1}
