@@ -51,18 +51,18 @@ def page_texts(blocks: DataFrame) -> DataFrame:
     return blocks.where(F.col("text") != "").groupBy("document_id", "page").agg(T.collapse(joined).alias("text"))
 
 
-def source_context(requests: DataFrame, pages: DataFrame) -> DataFrame:
+def source_context(requests: DataFrame, pages: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """First quote found in a page's text, as a window around it; (document_id, field_path, page, text, selection).
 
-    ``requests``: (document_id, field_path, needle_rank, needle), the excerpt first. Every request row gets an
-    answer: a matched window, a keyword window, or none.
+    ``requests``: (document_id, field_path, needle_rank, needle), the excerpt first, and the columns ``by``, each of whose values is answered by
+    itself. Every request row gets an answer: a matched window, a keyword window, or none.
     """
-    key = ["document_id", "field_path"]
+    key = ["document_id", "field_path", *by]
     needles = requests.withColumn("_n", T.collapse(F.col("needle"))).where(F.col("_n") != "")
     # a document's needles travel as one array; a page's text leaves the join once for each hit only
-    asked_of = needles.groupBy("document_id").agg(F.collect_list(F.struct("field_path", "needle_rank", "_n")).alias("_needles"))
+    asked_of = needles.groupBy("document_id").agg(F.collect_list(F.struct("field_path", *by, "needle_rank", "_n")).alias("_needles"))
     low = pages.join(asked_of, "document_id").withColumn("_low", F.lower("text"))
-    at = F.filter(F.transform("_needles", lambda x: F.struct(x["field_path"].alias("field_path"), x["needle_rank"].alias("needle_rank"), x["_n"].alias("_n"),
+    at = F.filter(F.transform("_needles", lambda x: F.struct(*[x[c].alias(c) for c in ("field_path", *by, "needle_rank", "_n")],
                                                              F.call_function("locate", F.lower(x["_n"]), F.col("_low")).alias("_at"))), lambda x: x["_at"] > 0)
     hit = low.select("document_id", "page", "text", F.inline(at))
     start = F.greatest(F.col("_at") - 300, F.lit(1))
@@ -71,12 +71,35 @@ def source_context(requests: DataFrame, pages: DataFrame) -> DataFrame:
     found = (hit.groupBy(*key).agg(F.min_by(F.struct("page", window.alias("text")), F.struct("needle_rank", "page")).alias("_f")))
     asked = requests.select(*key).distinct()
     missing = asked.join(found, key, "left_anti")
-    fallback = keyword_windows(missing, pages)
+    fallback = keyword_windows(missing.select("document_id", "field_path").distinct() if by else missing, pages)
+    fallback = missing.join(fallback, ["document_id", "field_path"]).select(*key, "page", "text") if by else fallback
     matched = found.select(*key, F.col("_f.page").alias("page"), F.col("_f.text").alias("text"), F.lit("matched extraction evidence").alias("selection"))
     none = missing.join(fallback, key, "left_anti").select(*key, F.lit(None).cast("int").alias("page"), F.lit("").alias("text"), F.lit("source text unavailable").alias("selection"))
     return matched.unionByName(fallback.withColumn("selection", F.lit("source context; relevance not verified"))).unionByName(none)
 
 
+def failure_sources(patterns: DataFrame, needles: DataFrame, pages: DataFrame) -> DataFrame:
+    """``patterns`` (see ``failure_patterns``) plus the source text of each example and of the passing control.
+
+    The text is fetched after the top patterns are known: only the pages of the few documents they name (fields x (patterns x examples + 1) of a run) are read on,
+    and no text takes part in the ranking. ``needles``: (run_id, document_id, field_path, needle_rank, needle), what the run's extraction cites for a field.
+    Adds ``sources``, array<struct<document_id,page,text,selection>> in the order of ``examples``, and ``control_source``; a run without a control has null there.
+    """
+    key = ["run_id", "document_id", "field_path"]
+    patterns = materialized(patterns, "patterns-shown")
+    shown = patterns.select("run_id", "field_path", "pattern_rank", F.posexplode("examples").alias("pos", "document_id"))
+    control = patterns.select("run_id", "field_path", F.col("control_document_id").alias("document_id")).where("document_id IS NOT NULL")
+    wanted = materialized(shown.select(*key).unionByName(control.select(*key)).distinct(), "documents-shown")
+    nothing = wanted.select(*key, F.lit(None).cast("int").alias("needle_rank"), F.lit("").alias("needle"))
+    asked = needles.select(*key, "needle_rank", "needle").join(wanted, key, "left_semi").unionByName(nothing)
+    context = source_context(asked, pages.join(wanted.select("document_id").distinct(), "document_id", "left_semi"), ("run_id",))
+    context = materialized(context.select(*key, F.struct("document_id", "page", "text", "selection").alias("source")), "sources-shown")
+    listed = shown.join(context, key).groupBy("run_id", "field_path", "pattern_rank").agg(F.array_sort(F.collect_list(F.struct("pos", "source"))).alias("_s"))
+    beside = context.select("run_id", "field_path", F.col("document_id").alias("control_document_id"), F.col("source").alias("control_source"))
+    return (patterns.join(listed, ["run_id", "field_path", "pattern_rank"], "left").join(beside, ["run_id", "field_path", "control_document_id"], "left")
+            .select(*patterns.columns, F.col("_s.source").alias("sources"), "control_source"))
+
+
 def field_words(path: Column) -> Column:
     """Lower-case words of three or more letters in a field path, camel case split."""
     return F.regexp_extract_all(F.lower(F.regexp_replace(path, r"([a-z])([A-Z])", "$1 $2")), F.lit(r"[a-z]{3,}"), F.lit(0))

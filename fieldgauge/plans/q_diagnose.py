@@ -3,10 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import jsonvals as J
 from ..operators import diagnose as D
 from .q_scoring import S0, S1, scored
 from .registry import query
-from .sql import CTES, canon, sql
+from .sql import CTES, canon, sql, txt
 
 
 @query("top_failing_fields", sql(f"""SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY failed DESC, field_path) AS INTEGER) AS field_rank FROM (SELECT run_id, field_path, count(*) AS scored, count(*) FILTER (status <> 'correct') AS failed,
@@ -26,6 +27,30 @@ def _(v):
     return out.select("run_id", "field_path", "pattern_rank", "pattern_count", "status", "expected", "actual", "count", F.array_join("examples", ",").alias("examples"))
 
 
+CTES["fp"] = (("bad",), """SELECT run_id, field_path, CAST(pattern_rank AS INTEGER) AS pattern_rank, status, n, ex FROM (
+ SELECT *, row_number() OVER (PARTITION BY run_id, field_path ORDER BY n DESC, first_document, status, expected, actual) AS pattern_rank FROM (
+ SELECT run_id, field_path, status, expected, actual, count(*) AS n, min(document_id) AS first_document, list_sort(list(document_id))[1:2] AS ex FROM bad GROUP BY 1, 2, 3, 4, 5)) WHERE pattern_rank <= 4""")
+CTES["order_page"] = (("base",), "SELECT document_id, string_agg(field_path || ' ' || v, ' ' ORDER BY f) AS text FROM base GROUP BY 1")
+CTES["order_needle"] = (("pred0",), rf"SELECT document_id, field_path, trim(regexp_replace({txt('value_json')}, '\s+', ' ', 'g')) AS needle FROM pred0")
+CTES["order_source"] = (("order_page", "order_needle", "base"), """SELECT b.document_id, b.field_path, p.text, CASE WHEN n.needle <> '' AND contains(lower(p.text), lower(n.needle)) THEN 'matched extraction evidence' ELSE 'source context; relevance not verified' END AS selection
+ FROM base b JOIN order_page p ON p.document_id = b.document_id LEFT JOIN order_needle n ON n.document_id = b.document_id AND n.field_path = b.field_path""")
+CTES["shown"] = (("fp",), "SELECT run_id, field_path, pattern_rank, status, n, unnest(ex) AS document_id FROM fp")
+
+
+@query("failure_sources", sql(f"""SELECT s.run_id, s.field_path, s.pattern_rank, s.status, string_agg(s.document_id || '|' || o.selection || '|' || o.text, ';' ORDER BY s.document_id) AS sources, c.document_id AS control_document_id, q.selection || '|' || q.text AS control FROM shown s JOIN order_source o ON o.document_id = s.document_id AND o.field_path = s.field_path
+ LEFT JOIN (SELECT field_path, min(document_id) FILTER (status = 'correct') AS document_id FROM {S0} GROUP BY 1) c ON c.field_path = s.field_path LEFT JOIN order_source q ON q.document_id = c.document_id AND q.field_path = c.field_path
+ GROUP BY s.run_id, s.field_path, s.pattern_rank, s.status, c.document_id, q.selection, q.text""", "shown", "order_source", S0))
+def _(v):
+    """Orders as pages of their true values; what the run cites for a field is the value that it gave."""
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", F.concat_ws(" ", "field_path", "v").alias("w")))), lambda x: x["w"]), " ")
+    page = v.base.groupBy("document_id").agg(words.alias("text")).select("document_id", F.lit(1).alias("page"), "text")
+    cited = v.pred(0).select("run_id", "document_id", "field_path", F.lit(1).alias("needle_rank"), J.text(F.col("value_json")).alias("needle"))
+    out = D.failure_sources(D.failure_patterns(scored(v)), cited, page)
+    show = F.transform("sources", lambda s: F.concat_ws("|", s["document_id"], s["selection"], s["text"]))
+    return out.select("run_id", "field_path", "pattern_rank", "status", F.array_join(show, ";").alias("sources"), "control_document_id",
+                      F.concat_ws("|", "control_source.selection", "control_source.text").alias("control"))
+
+
 CTES["page_text"] = (("blocks",), r"""SELECT document_id, page, trim(regexp_replace(string_agg(text, ' ' ORDER BY source_index), '\s+', ' ', 'g')) AS text FROM blocks GROUP BY 1, 2""")
 CTES["page_keyed"] = (("page_text",), "SELECT * FROM page_text")
 
