@@ -138,6 +138,19 @@ def printable_text(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(s, r"\n[ \t]+", "\n"), r"^\s+|\s+$", "")
 
 
+def decoded_text(data: Column) -> Column:
+    """Bytes as UTF-8 text without what is not UTF-8, or as Latin-1 if fewer than 12 ASCII letters and digits are left."""
+    # a replacement character that is really there is set aside, as broken bytes become one
+    marked = F.make_valid_utf8(F.replace(data.cast("string"), F.lit("\ufffd"), F.lit("\x01")))
+    utf8 = F.replace(F.replace(marked, F.lit("\ufffd"), F.lit("")), F.lit("\x01"), F.lit("\ufffd"))
+    return F.when(F.regexp_count(utf8, F.lit("[A-Za-z0-9]")) < 12, F.decode(data, "ISO-8859-1")).otherwise(utf8)
+
+
+def printable_bytes(data: Column) -> Column:
+    """Printable text of a file's bytes."""
+    return printable_text(decoded_text(data))
+
+
 def column_key(x: Column) -> Column:
     return casefold(F.regexp_replace(x, WHITESPACE, ""))
 

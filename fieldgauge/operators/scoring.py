@@ -26,16 +26,17 @@ def annotated_paths(truth: DataFrame, leaves: DataFrame, config: ScoringConfig =
 
     Annotated schema leaves, plus ``required_fields``, plus predicted paths outside the schema when
     hallucinations are included. A path without annotation has ``expected_present = false``.
+    Without any schema leaf, every annotated path is scored, and no predicted path is outside the schema.
     """
-    known = leaves.select("field_path")
+    known, bare = leaves.select("field_path"), not leaves.take(1)
     all_truth = _verified(truth).select("document_id", "field_path", F.col("value_json").alias("expected_json"))
-    base = all_truth.join(known, "field_path", "left_semi").select(
+    base = (all_truth if bare else all_truth.join(known, "field_path", "left_semi")).select(
         "document_id", "field_path", F.lit(True).alias("expected_present"), "expected_json")
     extra = None
     if config.required_fields:
         docs = all_truth.select("document_id").distinct()
         extra = docs.select("document_id", F.explode(F.array(*[F.lit(p) for p in config.required_fields])).alias("field_path"))
-    if config.include_hallucinations and predictions is not None:
+    if config.include_hallucinations and predictions is not None and not bare:
         outside = predictions.select("document_id", "field_path").join(known, "field_path", "left_anti")
         outside = outside.join(all_truth.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "field_path")
         extra = outside if extra is None else extra.unionByName(outside)
@@ -55,12 +56,13 @@ def annotated_paths(truth: DataFrame, leaves: DataFrame, config: ScoringConfig =
 
 def unscored_documents(extractions: DataFrame, truth: DataFrame, leaves: DataFrame,
                        config: ScoringConfig = ScoringConfig()) -> DataFrame:
-    """(run_id, document_id, reason) for extractions without a usable verified annotation.
+    """(run_id, document_id, reason) for extractions without a usable verified annotation. Without schema leaves any annotation is usable.
 
     With hallucinations included, any verified annotation makes a document usable: its predicted paths are scored.
     """
     known = leaves.select("field_path", F.lit(True).alias("known"))
-    per_doc = (truth.join(known, "field_path", "left").groupBy("document_id")
+    marked = truth.join(known, "field_path", "left") if leaves.take(1) else truth.withColumn("known", F.lit(True))
+    per_doc = (marked.groupBy("document_id")
                .agg(F.bool_or(F.coalesce(F.col("annotation_status"), F.lit("complete")) == "unverified").alias("unverified"),
                     F.count_if(F.col("known")).alias("n_known")))
     usable = F.lit(bool(config.required_fields) or config.include_hallucinations) | (F.col("n_known") > 0)

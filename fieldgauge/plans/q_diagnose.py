@@ -44,7 +44,7 @@ def _(v):
     """Orders as pages of their true values; what the run cites for a field is the value that it gave."""
     words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", F.concat_ws(" ", "field_path", "v").alias("w")))), lambda x: x["w"]), " ")
     page = v.base.groupBy("document_id").agg(words.alias("text")).select("document_id", F.lit(1).alias("page"), "text")
-    cited = v.pred(0).select("run_id", "document_id", "field_path", F.lit(1).alias("needle_rank"), J.text(F.col("value_json")).alias("needle"))
+    cited = v.branches((0,)).select(F.lit("run-0").alias("run_id"), "document_id", "field_path", F.lit(1).alias("needle_rank"), J.text(F.col("value_json")).alias("needle"))
     out = D.failure_sources(D.failure_patterns(scored(v)), cited, page)
     show = F.transform("sources", lambda s: F.concat_ws("|", s["document_id"], s["selection"], s["text"]))
     return out.select("run_id", "field_path", "pattern_rank", "status", F.array_join(show, ";").alias("sources"), "control_document_id",

@@ -121,15 +121,12 @@ def _(v):
     return rounded(S.failure_counts(scored(v)), "share")
 
 
-@query("preview_score", sql("SELECT status, count(*) AS n FROM p GROUP BY 1", "truth") .replace("\nSELECT status", f""",
- p AS (SELECT CASE WHEN t.value_json = 'null' THEN 'hallucinated' WHEN {__import__('fieldgauge.plans.sql', fromlist=['norm']).norm('t.f', 't.value_json')} = '"USD"' THEN 'correct' ELSE 'incorrect' END AS status
- FROM truth t WHERE t.annotation_status <> 'unverified' AND t.f = 6)
-SELECT status"""))
+@query("preview_score", sql(f"SELECT field_path, status, count(*) AS n FROM {S0} GROUP BY 1, 2", S0))
 def _(v):
-    candidate = v.documents.select(F.lit("preview").alias("run_id"), "document_id", F.lit("currency").alias("field_path"),
-                                   F.lit('"US$"').alias("value_json"), F.lit(None).cast("string").alias("normalized_json"))
-    s = S.score_fields(v.truth.where("field_path = 'currency'"), candidate, v.leaves)
-    return s.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    """All fields of a candidate that belongs to no run, scored against the truth of the documents that it answers."""
+    candidate = v.pred(0).withColumn("run_id", F.lit("preview"))
+    s = S.score_fields(v.truth, candidate, v.leaves)
+    return s.groupBy("field_path", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 CTES["outcomes"] = ((), """SELECT 'run-' || r AS run_id, 'o' || o_orderkey AS document_id, CASE WHEN o_orderkey%40 = 3 AND r = 0 THEN 'failed' ELSE 'completed' END AS status

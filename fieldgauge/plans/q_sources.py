@@ -162,13 +162,17 @@ def _(v):
     return v.spark.read.option("header", True).option("escape", '"').csv(path).select("document_id", "field_path", "status", "expected", "actual")
 
 
-@query("run_report", sql(f"SELECT field_path, count(*) AS documents, count(*) FILTER (status = 'correct') AS correct, count(*) FILTER (status <> 'correct') AS failures FROM {S0} GROUP BY 1", S0))
+@query("run_report", sql(f"""SELECT 1 AS version, 'run-0' AS id, 'completed' AS status, 'pv-1' AS processor_version, 'orders' AS dataset, '{{"numeric_tolerance":null}}' AS scoring_config, d.documents AS scored_documents, field_path, count(*) AS documents,
+ count(*) FILTER (status = 'correct') AS correct, count(*) FILTER (status <> 'correct') AS failures, round(count(*) FILTER (status = 'correct')/count(*)::DOUBLE, 4) AS accuracy FROM {S0}, (SELECT count(DISTINCT document_id) AS documents FROM {S0}) d GROUP BY d.documents, field_path""", S0))
 def _(v):
     path = work_path(v.spark, "report")
     s = scored(v)
-    R.run_report(s, s.select("run_id").distinct(), path)
-    m = v.spark.read.schema("run_id string, field_metrics array<struct<field_path:string,documents:long,correct:long,failures:long>>").json(path + "/summary")
-    return m.select(F.explode("field_metrics").alias("m")).select("m.*")
+    runs = s.select("run_id").distinct().select("run_id", F.lit("completed").alias("status"), F.lit("pv-1").alias("processor_version"), F.lit("orders").alias("dataset"), F.lit('{"numeric_tolerance":null}').alias("scoring_config"))
+    R.run_report(s, runs, path, s.groupBy("run_id").agg(F.count_distinct("document_id").alias("scored_documents")))
+    kind = ("run_id string, version int, run struct<id:string,status:string>, processor_version string, dataset string, scoring_config string, metrics struct<scored_documents:long>, "
+            "field_metrics array<struct<field_path:string,documents:long,correct:long,failures:long,accuracy:double>>")
+    m = v.spark.read.schema(kind).json(path + "/summary")
+    return m.select("version", "run.id", "run.status", "processor_version", "dataset", "scoring_config", "metrics.scored_documents", F.inline("field_metrics"))
 
 
 @query("table_store", sql("SELECT run_id, count(*) AS n, count(DISTINCT document_id) AS documents FROM (SELECT run_id, document_id FROM extractions0 UNION ALL SELECT run_id, document_id FROM extractions1) GROUP BY 1", "extractions0", "extractions1"))

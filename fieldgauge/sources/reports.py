@@ -17,10 +17,27 @@ def run_report_csv(scored: DataFrame, path: str) -> None:
     report_rows(scored).write.mode("overwrite").partitionBy("run_id").option("header", True).option("escape", '"').csv(path)
 
 
-def run_report(scored: DataFrame, runs: DataFrame, path: str) -> None:
-    """JSON lines: run header with per-field metrics under ``summary``, failed fields under ``failures``."""
-    per_field = field_metrics(scored).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("field_path", "documents", "correct", "failures", "accuracy"))).alias("field_metrics"))
-    runs.join(per_field, "run_id", "left").write.mode("overwrite").json(f"{path}/summary")
+REPORT_VERSION = 1
+
+
+def report_headers(scored: DataFrame, runs: DataFrame, metrics: DataFrame | None = None) -> DataFrame:
+    """(run_id, version, run, processor_version, dataset, scoring_config, metrics, field_metrics), a row for each run.
+
+    ``runs``: run_id and, where known, status, created_at, completed_at, processor_version, dataset and scoring_config; ``metrics``: one row for each run
+    (see ``run_metrics``). What is not given is null. Accuracies are rounded to four digits; a run without scored fields has no field metrics.
+    """
+    per_field = field_metrics(scored).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("field_path", "documents", "correct", "failures", F.round("accuracy", 4).alias("accuracy")))).alias("field_metrics"))
+    given = lambda c: (F.col(c) if c in runs.columns else F.lit(None).cast("string")).alias(c)
+    head = runs.select("run_id", F.lit(REPORT_VERSION).alias("version"), F.struct(F.col("run_id").alias("id"), *[given(c) for c in ("status", "created_at", "completed_at")]).alias("run"),
+                       *[given(c) for c in ("processor_version", "dataset", "scoring_config")])
+    if metrics is not None:
+        head = head.join(metrics.select("run_id", F.struct(*[c for c in metrics.columns if c != "run_id"]).alias("metrics")), "run_id", "left")
+    return head.join(per_field, "run_id", "left")
+
+
+def run_report(scored: DataFrame, runs: DataFrame, path: str, metrics: DataFrame | None = None) -> None:
+    """JSON lines: run headers with run and per-field metrics under ``summary``, failed fields under ``failures``."""
+    report_headers(scored, runs, metrics).write.mode("overwrite").json(f"{path}/summary")
     report_rows(scored).where("status <> 'correct'").write.mode("overwrite").partitionBy("run_id").json(f"{path}/failures")
 
 

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldgauge import schema_leaves
-from fieldgauge.operators import canonical, consensus, layout, pages, reshape
+from fieldgauge.functions import text as T
+from fieldgauge.operators import canonical, consensus, diagnose, layout, pages, reshape, scoring
 from fieldgauge.sources import annotations
 from fieldgauge.streaming import jobs
 
@@ -157,3 +158,34 @@ def test_tables_are_placed_in_order(spark):
     out = layout.infer_table_boxes(spark.createDataFrame(items, "document_id string, page int, source_index int, is_table boolean, text string, bbox array<double>")).collect()
     got = {r["source_index"]: (r["bbox"][1], r["bbox"][3]) for r in out}
     assert got == {1: (0.118, 0.178), 2: (0.3, 0.36), 3: (0.378, 0.438)} and {r["page"] for r in out} == {1}
+
+
+def test_bytes_are_decoded(spark):
+    cases = [(b"plain words of text", "plain words of text"), (b"abcdefghijkl\xff\xc3\xa9m \xef\xbf\xbdn", "abcdefghijkl m n"), (b"caf\xe9 \x00 ol\xe9", "caf ol"), (b"", ""), (None, None), (b"\xff\xfe", "")]
+    rows = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(cases)], "k int, data binary")
+    assert [r[0] for r in rows.orderBy("k").select(T.printable_bytes(F.col("data"))).collect()] == [w for _, w in cases]
+    assert rows.where("k = 1").select(T.decoded_text(F.col("data"))).first()[0] == "abcdefghijkl\u00e9m \ufffdn"
+
+
+def test_scoring_without_schema_leaves(spark):
+    leaves = schema_leaves(spark, SCHEMA).where("false")
+    truth = spark.createDataFrame([("x", "any.path", '"1"', "complete"), ("x", "b", "2", None), ("y", "c", "3", "unverified")], "document_id string, field_path string, value_json string, annotation_status string")
+    pred = spark.createDataFrame([("r", "x", "any.path", '"1"'), ("r", "x", "made.up", "1")], "run_id string, document_id string, field_path string, value_json string")
+    docs = spark.createDataFrame([("r", "x"), ("r", "y"), ("r", "z")], "run_id string, document_id string")
+    from fieldgauge import ScoringConfig
+    for config in (ScoringConfig(), ScoringConfig(include_hallucinations=True)):
+        got = {(r["document_id"], r["field_path"]): r["status"] for r in scoring.score_fields(truth, pred, leaves, config, docs).collect()}
+        assert got == {("x", "any.path"): "correct", ("x", "b"): "missing"}
+    assert {r["document_id"]: r["reason"] for r in scoring.unscored_documents(docs, truth, leaves).collect()} == {"y": "ground_truth_unverified", "z": "ground_truth_missing"}
+
+
+def test_failures_show_their_source(spark):
+    scored = spark.createDataFrame([("r", "a.term", s, d, e, a) for d, s, e, a in (("d1", "incorrect", '"x"', '"y"'), ("d2", "incorrect", '"x"', '"y"'), ("d3", "incorrect", '"x"', '"y"'), ("d4", "correct", '"k"', '"k"'), ("d5", "missing", '"x"', None))],
+                                   "run_id string, field_path string, status string, document_id string, expected_json string, actual_json string")
+    texts = spark.createDataFrame([("d1", 1, "p" * 500 + " the Quoted words " + "q" * 900), ("d1", 2, "other"), ("d2", 1, "nothing here but a term"), ("d4", 3, "control quoted WORDS"), ("d9", 1, "not asked")], "document_id string, page int, text string")
+    needles = spark.createDataFrame([("r", d, "a.term", 0, "quoted  words") for d in ("d1", "d2", "d4", "d9")] + [("other", "d1", "a.term", 0, "other")], "run_id string, document_id string, field_path string, needle_rank int, needle string")
+    got = {r["pattern_rank"]: r for r in diagnose.failure_sources(diagnose.failure_patterns(scored), needles, texts).collect()}
+    first, second = got[1]["sources"]
+    assert first["document_id"] == "d1" and first["page"] == 1 and first["selection"] == "matched extraction evidence" and "the Quoted words" in first["text"] and len(first["text"]) == 300 + 12 + 400
+    assert (second["document_id"], second["text"], second["selection"]) == ("d2", "nothing here but a term", "source context; relevance not verified")
+    assert [s["selection"] for s in got[2]["sources"]] == ["source text unavailable"] and got[1]["control_source"]["text"] == "control quoted WORDS" and got[1]["examples"] == ["d1", "d2"]
