@@ -29,37 +29,35 @@ def page_line_blocks(documents: DataFrame) -> DataFrame:
                       F.col("i").alias("source_index"), "text", box.alias("bbox"))
 
 
-def _text_lines(html: str) -> str:
-    """Visible text runs of an HTML page, one per line."""
-    from html.parser import HTMLParser
-    hidden = {"script", "style", "noscript", "template"}
-    state, runs = {"hidden": 0}, []
-    parser = HTMLParser()
-
-    def opened(tag, attrs):
-        state["hidden"] += tag in hidden
-
-    def closed(tag):
-        if tag in hidden and state["hidden"]:
-            state["hidden"] -= 1
-
-    def seen(data):
-        words = data.split()
-        if words and not state["hidden"]:
-            runs.append(" ".join(words))
-    parser.handle_starttag, parser.handle_endtag, parser.handle_data = opened, closed, seen
-    parser.feed(html)
-    parser.close()
-    return "\n".join(runs)
+BREAK = "\x01"
+# comments and elements that are not shown, to their end or the page's, whichever comes first
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|noscript|template)(?=[\s/>]).*?(?:</\1\s*>|\z)"
+# a tag, quoted attributes first; one with an odd quote ends at its first >, one without an end at the page's
+TAG = r"""(?s)</?[a-zA-Z][^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+>|</?[a-zA-Z][^>]*+(?:>|\z)|<[!?/][^>]*+(?:>|\z)"""
+
+
+def _unescaped():
+    import html
+
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def decode(s):
+        return s.map(html.unescape, na_action="ignore")
+    decode.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return pandas_udf(decode, "string")
 
 
 def html_block_table(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, line_no, text): visible text lines of HTML pages, parsed in Arrow batches on the executors."""
-    def parse(batches):
-        for b in batches:
-            yield b[[key]].assign(text=[_text_lines(h or "") for h in b[html]])
-    texts = pages.select(key, html).mapInPandas(parse, f"{key} {dict(pages.dtypes)[key]}, text string")
-    return texts.select(key, F.posexplode(F.split("text", "\n")).alias("line_no", "text")).where("text <> ''")
+    """(key, line_no, text): the visible text runs of HTML pages, one for each stretch between tags, white space collapsed.
+
+    Markup is cut away by patterns on columns; only character references are decoded in Arrow batches. A ``<`` that begins no tag is text. A hidden
+    element ends at the first closing tag of its name. Pages without text give no rows.
+    """
+    shown = F.regexp_replace(F.regexp_replace(F.translate(html, BREAK, " "), HIDDEN, BREAK), TAG, BREAK)
+    decoded = pages.select(key, _unescaped()(shown).alias("shown"))
+    runs = F.filter(F.transform(F.split("shown", BREAK), T.collapse), lambda x: x != "")
+    return decoded.select(key, F.posexplode(runs).alias("line_no", "text"))
 
 
 def bbox_normalize(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column,

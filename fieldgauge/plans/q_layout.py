@@ -38,7 +38,12 @@ def _(v):
     return v.table("documents").select("doc_id", T.printable_bytes(data).alias("out"))
 
 
-@query("html_block_table")
+# the references that the pages hold
+DECODED = "regexp_replace(replace(replace(replace({0}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+@query("html_block_table", rf"""SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS line_no, text FROM (SELECT page_id, i, trim(regexp_replace({DECODED.format("x")}, '\s+', ' ', 'g')) AS text FROM (
+ SELECT page_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?is)<!--.*?(-->|$)|<script.*?(</script>|$)|<style.*?(</style>|$)', chr(1), 'g'), '<[^>]*(>|$)', chr(1), 'g'), chr(1)) AS l FROM pages))) WHERE text <> ''""".replace("\\\\", "\\"))
 def _(v):
     return L.html_block_table(v.table("pages"), "page_id", "html")
 

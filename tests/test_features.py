@@ -189,3 +189,13 @@ def test_failures_show_their_source(spark):
     assert first["document_id"] == "d1" and first["page"] == 1 and first["selection"] == "matched extraction evidence" and "the Quoted words" in first["text"] and len(first["text"]) == 300 + 12 + 400
     assert (second["document_id"], second["text"], second["selection"]) == ("d2", "nothing here but a term", "source context; relevance not verified")
     assert [s["selection"] for s in got[2]["sources"]] == ["source text unavailable"] and got[1]["control_source"]["text"] == "control quoted WORDS" and got[1]["examples"] == ["d1", "d2"]
+
+
+def test_visible_html_runs(spark):
+    pages = ["<p>a < b &amp; c</p>x<!-- <script> -->y<script>var t='</p>';</script>z", "<div title=\"a>b\">in</div><style>p{}</style>&nbsp; two  &#233; words<br/>three<noscript>no</noscript><template><b>t</b></template>end", None, "", "<p>cut <b",
+             "a<scripted>b</scripted>c", "un<i title='odd>q</i>x", "&amp;lt;", "only <script> open", "<p " + "a='b' " * 5_000 + ">long</p>" + "w " * 200_000]
+    got = {}
+    for r in layout.html_block_table(spark.createDataFrame(list(enumerate(pages)), "k int, h string"), "k", "h").orderBy("k", "line_no").collect():
+        got.setdefault(r["k"], []).append(r["text"])
+    assert [len(x) for x in got.pop(9)] == [4, 399_999]
+    assert got == {0: ["a < b & c", "x", "y", "z"], 1: ["in", "two é words", "three", "end"], 4: ["cut"], 5: ["a", "b", "c"], 6: ["un", "q", "x"], 7: ["&lt;"], 8: ["only"]}
