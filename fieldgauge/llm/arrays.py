@@ -11,7 +11,7 @@ _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BACK = np.uint64(pow(int(_STEP), -1, 1 << 64))
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-BLOCK = 2_000_000
+BLOCK = 500_000
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
