@@ -204,10 +204,17 @@ def normalize_answer(field: Column, raw: Column, is_impossible: Column, n_answer
             .otherwise(out(True, as_json, "human_answer")))
 
 
+# The date spellings that count, and the wordings of notice periods.
+EXPLICIT_DATE = r"^\d{1,2}/\d{1,2}/(\d{4}|\d{2})$|^\d{4}-\d{1,2}-\d{1,2}$"
+NOTICE_SHAPE = r"(?i)^\s*(\d+)\s+(days?|months?)\s*$"
+NOTICE_UNITS = {"business days": r"(?i)business\s+days", "calendar days": r"(?i)calendar\s+days"}
+NOTICE_EXCLUDED = r"(?i)within|October 1|interruptible|firm transportation"
+
+
 def explicit_date(raw: Column, spans: Column) -> Column:
     """The parsed date, kept only when a supporting span states it literally."""
     t = F.trim(raw)
-    iso = F.when(t.rlike(r"^\d{1,2}/\d{1,2}/(\d{4}|\d{2})$|^\d{4}-\d{1,2}-\d{1,2}$"), parse_date(t))
+    iso = F.when(t.rlike(EXPLICIT_DATE), parse_date(t))
     y, mm, dd = F.substring(iso, 1, 4), F.substring(iso, 6, 2), F.substring(iso, 9, 2)
     m, d = mm.cast("int").cast("string"), dd.cast("int").cast("string")
     full = F.element_at(F.array(*[F.lit(n) for n in MONTHS]), F.coalesce(mm.cast("int"), F.lit(1)))
@@ -222,15 +229,12 @@ def explicit_date(raw: Column, spans: Column) -> Column:
 
 def notice_period(raw: Column, spans: Column) -> Column:
     """struct(number, unit) for an uncomplicated duration; null for ranges and excluded wording."""
-    shape = r"(?i)^\s*(\d+)\s+(days?|months?)\s*$"
     joined = F.array_join(spans, " ")
-    unit = (F.when(F.lower(F.regexp_extract(raw, shape, 2)).startswith("month"), "months")
-            .when(joined.rlike(r"(?i)business\s+days"), "business days")
-            .when(joined.rlike(r"(?i)calendar\s+days"), "calendar days")
-            .otherwise("unclear"))
-    excluded = joined.rlike(r"(?i)within|October 1|interruptible|firm transportation")
-    return F.when(raw.rlike(shape) & (F.size(spans) > 0) & ~excluded,
-                  F.struct(F.regexp_extract(raw, shape, 1).alias("number"), unit.alias("unit")))
+    unit = F.when(F.lower(F.regexp_extract(raw, NOTICE_SHAPE, 2)).startswith("month"), "months")
+    for name, pattern in NOTICE_UNITS.items():
+        unit = unit.when(joined.rlike(pattern), name)
+    return F.when(raw.rlike(NOTICE_SHAPE) & (F.size(spans) > 0) & ~joined.rlike(NOTICE_EXCLUDED),
+                  F.struct(F.regexp_extract(raw, NOTICE_SHAPE, 1).alias("number"), unit.otherwise("unclear").alias("unit")))
 
 
 def excerpt_queries(x: Column, limit: int = 8) -> Column:
