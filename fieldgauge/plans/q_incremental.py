@@ -62,14 +62,14 @@ def _(v):
 def _(v):
     spark = v.spark
     landing, table = work_path(spark, "landing"), work_path(spark, "scored")
-    # a document's fields land in two batches, and a row that it was processed with the first
+    # a document's fields land in two batches of as many files as Spark writes, and a row that it was processed with the first
     pred = v.pred(0)
     done = v.extractions(0).select("run_id", "document_id", *[F.lit(None).cast(t).alias(c) for c, t in pred.dtypes if c not in ("run_id", "document_id")]).select(*pred.columns)
     odd = F.crc32(F.col("field_path").cast("binary")) % 2 == 1
-    pred.where(~odd).unionByName(done).coalesce(1).write.parquet(landing)
-    pred.where(odd).coalesce(1).write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(pred.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    S.incremental_scoring(stream, v.truth, v.leaves, table, work_path(spark, "ckpt")).awaitTermination()
+    checkpoint = work_path(spark, "ckpt")
+    for batch in (pred.where(~odd).unionByName(done), pred.where(odd)):
+        batch.write.mode("append").parquet(landing)
+        S.incremental_scoring(spark.readStream.schema(pred.schema).parquet(landing), v.truth, v.leaves, table, checkpoint).awaitTermination()
     return S.current_scores(spark.read.parquet(table)).select("run_id", "document_id", "field_path", "status", "score")
 
 

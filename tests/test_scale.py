@@ -33,3 +33,8 @@ def test_scoring_is_compiled(spark, fixed_plans):
     assert 0 < longest_method(spark, scored) <= 8000
     cells = compare.paired_inner_guarded(scored, q_scoring.scored(v, 1), strict=True)
     assert 0 < longest_method(spark, compare.paired_compare(cells)) <= 8000
+
+
+def test_predictions_land_in_parallel(spark, fixed_plans):
+    assert QUERIES["incremental_scoring"](spark, SF).count() > 0
+    assert len(glob(f"{fixed_plans}/fieldgauge/landing-*/part-*")) > 2
