@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonvals as J, text as T
 from ..operators import benchmark as B
-from ..session import work_path
+from ..session import materialized, work_path
 from ..sources import annotations as A, ingest as I, manifest as M, reports as R
 from .q_catalog import docmeta, truth_docs
 from .q_scoring import S0, scored, rounded
@@ -166,7 +166,8 @@ def _(v):
  count(*) FILTER (status = 'correct') AS correct, count(*) FILTER (status <> 'correct') AS failures, round(count(*) FILTER (status = 'correct')/count(*)::DOUBLE, 4) AS accuracy FROM {S0}, (SELECT count(DISTINCT document_id) AS documents FROM {S0}) d GROUP BY d.documents, field_path""", S0))
 def _(v):
     path = work_path(v.spark, "report")
-    s = scored(v)
+    # headers, metrics and failures read the scores: they are made once
+    s = materialized(scored(v).select("run_id", "document_id", "field_path", "status", "expected_json", "actual_json", "confidence", "failure_type"), "scored")
     runs = s.select("run_id").distinct().select("run_id", F.lit("completed").alias("status"), F.lit("pv-1").alias("processor_version"), F.lit("orders").alias("dataset"), F.lit('{"numeric_tolerance":null}').alias("scoring_config"))
     R.run_report(s, runs, path, s.groupBy("run_id").agg(F.count_distinct("document_id").alias("scored_documents")))
     kind = ("run_id string, version int, run struct<id:string,status:string>, processor_version string, dataset string, scoring_config string, metrics struct<scored_documents:long>, "

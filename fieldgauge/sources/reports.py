@@ -36,7 +36,10 @@ def report_headers(scored: DataFrame, runs: DataFrame, metrics: DataFrame | None
 
 
 def run_report(scored: DataFrame, runs: DataFrame, path: str, metrics: DataFrame | None = None) -> None:
-    """JSON lines: run headers with run and per-field metrics under ``summary``, failed fields under ``failures``."""
+    """JSON lines: run headers with run and per-field metrics under ``summary``, failed fields under ``failures``.
+
+    ``scored`` is read twice, and once more for ``metrics`` made of it: give it as a written table (see ``session.materialized``).
+    """
     report_headers(scored, runs, metrics).write.mode("overwrite").json(f"{path}/summary")
     report_rows(scored).where("status <> 'correct'").write.mode("overwrite").partitionBy("run_id").json(f"{path}/failures")
 

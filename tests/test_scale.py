@@ -38,3 +38,11 @@ def test_scoring_is_compiled(spark, fixed_plans):
 def test_predictions_land_in_parallel(spark, fixed_plans):
     assert QUERIES["incremental_scoring"](spark, SF).count() > 0
     assert len(glob(f"{fixed_plans}/fieldgauge/landing-*/part-*")) > 2
+
+
+def test_report_scores_once(spark, fixed_plans, monkeypatch):
+    given = []
+    real = q_sources.R.run_report
+    monkeypatch.setattr(q_sources.R, "run_report", lambda s, *rest: (given.append(s), real(s, *rest)))
+    assert QUERIES["run_report"](spark, SF).count() > 0
+    assert all("/scored-" in f for f in given[0].inputFiles())
