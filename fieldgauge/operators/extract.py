@@ -72,12 +72,23 @@ def resolve_extractor(ref: str, group: str = "fieldgauge.extractors"):
     return fn
 
 
+SLICE = 4_000_000  # characters
+
+
+def _slices(batches):
+    """The rows of each batch, a few at a time: less than ``SLICE`` characters and one more row. What an extractor makes of them stays small."""
+    for b in batches:
+        size = sum(b[c].map(lambda v: len(v) if isinstance(v, (str, bytes)) else 0).astype("int64") for c in b.columns)
+        for _, rows in b.groupby(size.cumsum() // SLICE):
+            yield rows.reset_index(drop=True)
+
+
 def run_extractor(documents: DataFrame, ref: str) -> DataFrame:
-    """Apply an extractor to documents in Arrow batches on the executors and check its result columns."""
+    """Apply an extractor to all documents, in slices of Arrow batches on the executors, and check its result columns."""
     fn, wanted = resolve_extractor(ref), ["document_id", "field_path", "value_json", "confidence", "errors"]
 
     def checked(batches):
-        for out in fn(batches):
+        for out in fn(_slices(batches)):
             missing = [c for c in wanted if c not in out.columns]
             if missing:
                 raise ValueError(f"extractor result lacks {missing}")

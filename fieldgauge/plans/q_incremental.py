@@ -77,8 +77,8 @@ def _word_counter(batches):
     """A small sample extractor: the number of words and the first word of each document."""
     import pandas as pd
     for b in batches:
-        words = b["text"].str.split()
-        count = pd.DataFrame({"document_id": b["document_id"], "field_path": "words", "value_json": words.str.len().astype(str)})
+        words = [None if t is None else str(len(t.split())) for t in b["text"]]
+        count = pd.DataFrame({"document_id": b["document_id"], "field_path": "words", "value_json": words})
         yield count.assign(confidence=1.0, errors=[[] for _ in range(len(count))])
 
 

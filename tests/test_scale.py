@@ -46,3 +46,15 @@ def test_report_scores_once(spark, fixed_plans, monkeypatch):
     monkeypatch.setattr(q_sources.R, "run_report", lambda s, *rest: (given.append(s), real(s, *rest)))
     assert QUERIES["run_report"](spark, SF).count() > 0
     assert all("/scored-" in f for f in given[0].inputFiles())
+
+
+def test_extractors_get_slices(spark):
+    def sizes(batches):
+        import pandas as pd
+        for b in batches:
+            n = int(b["text"].str.len().sum())
+            yield pd.DataFrame({"document_id": b["document_id"], "field_path": "n", "value_json": str(n), "confidence": 1.0, "errors": [[] for _ in range(len(b))]})
+    extract.register_extractor("sizes", sizes)
+    docs = spark.range(12).coalesce(1).select(F.col("id").cast("string").alias("document_id"), F.repeat(F.lit("x"), 1_500_000).alias("text"))
+    got = extract.run_extractor(docs, "sizes").collect()
+    assert len(got) == 12 and max(int(r["value_json"]) for r in got) < extract.SLICE + 1_500_000
