@@ -72,8 +72,12 @@ def majority_vote(candidates: DataFrame, leaves: DataFrame, documents: DataFrame
     v = F.col("value_json")
     named = with_leaf(_expected(candidates, branches).where(~J.is_null(v)), settled, "inner")
     checked = with_errors(named, v, "_errors").where(F.size("_errors") == 0)
-    signature = F.when(J.kind(v) == "array", J.table_signature(v, J.leaf("row_key"))).otherwise(J.vote_normalize(v, J.leaf("case_insensitive"), J.leaf("numeric_strings")))
-    staged = J.sealed(checked, [*DF, "branch", "value_json", "confidence", J.leaf("tolerance").alias("tolerance")], [signature.alias("sig")])
+    ruled = F.struct(*[J.leaf(n).alias(n) for n in ("row_key", "case_insensitive", "numeric_strings", "tolerance")])
+    checked = checked.select(*DF, "branch", "value_json", "confidence", ruled.alias("_leaf"))
+    checked = checked.withColumn("_t", J.apart(T.collapse(J.text(v)), F.col("field_path")))
+    checked = checked.withColumn("_f", J.apart(F.when(J.leaf("case_insensitive"), T.casefold(F.col("_t"))).otherwise(F.col("_t")), F.col("field_path")))
+    signature = F.when(J.kind(v) == "array", J.table_signature(v, J.leaf("row_key"))).otherwise(J.vote_form(v, F.col("_f"), J.leaf("numeric_strings")))
+    staged = J.settled(checked, [*DF, "branch", "value_json", "confidence", J.leaf("tolerance").alias("tolerance")], [signature.alias("sig")], F.col("field_path"))
     limits = {str(tolerance), *(str(p["tolerance"]) for p in policies.values() if p.get("tolerance") is not None)}
     near = {x for x in limits if float(x) != 0}
     parts = []
@@ -124,7 +128,7 @@ def _folded(staged: DataFrame, branches: int, quorum: int) -> DataFrame:
             F.transform(groups, lambda g, i: F.when(i + 1 == at, F.concat(g, F.array(x))).otherwise(g)))
     empty = F.filter(F.array(F.col("_items")), lambda g: F.lit(False))
     won = F.filter(F.aggregate("_items", empty, add), lambda g: F.size(g) >= quorum)
-    voted = J.sealed(grouped, DF, [F.when(F.size(won) == 1, F.get(won, F.lit(0))).alias("_w")]).where("_w IS NOT NULL")
+    voted = J.settled(grouped, DF, [F.when(F.size(won) == 1, F.get(won, F.lit(0))).alias("_w")], F.col("field_path")).where("_w IS NOT NULL")
     first = F.get(F.col("_w"), F.lit(0))
     return voted.select(*DF, F.size("_w").cast("long").alias("votes"), first["value_json"].alias("value_json"), first["confidence"].alias("confidence"), F.col("_w.branch").alias("voters"))
 

@@ -35,6 +35,16 @@ def test_scoring_is_compiled(spark, fixed_plans):
     assert 0 < longest_method(spark, compare.paired_compare(cells)) <= 8000
 
 
+def test_votes_are_compiled(spark, fixed_plans):
+    """Checks and comparison forms stand in projections, not inside a generator or a lambda function's arguments, where they are interpreted."""
+    for name in ("majority_vote", "tolerance_vote", "table_vote"):
+        df = QUERIES[name](spark, SF)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        generators = [line for line in plan.split("\n") if "Generate " in line]
+        assert generators and not any("regexp" in g or "concat_ws" in g for g in generators), name
+        assert "filter(split(" not in plan and longest_method(spark, df) <= 8000, name
+
+
 def test_predictions_land_in_parallel(spark, fixed_plans):
     assert QUERIES["incremental_scoring"](spark, SF).count() > 0
     assert len(glob(f"{fixed_plans}/fieldgauge/landing-*/part-*")) > 2
