@@ -4,9 +4,10 @@ Pages are sorted by host and URL path, so that a page's neighbours are those of
 of a page and of its nearer neighbour are aligned by a longest common subsequence, and lines that both have are deleted.
 
 Differencing alone can't give right results: menus and adverts that differ from page to page would stay, and lines that two articles
-share would go (README has figures). So markup speaks first. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and comments that are marked as such never count. Lines inside an ``article`` or ``main`` element are the text, whole, where a page
-has some; differencing decides on the pages that mark no article.
+share would go (README has figures). Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments that are
+marked as such never count. Every page is differenced; where a page marks its article (``article`` or ``main``), that check follows line
+by line: what differencing deleted inside is restored, and what it left outside is removed. ``n_shared`` counts the lines that
+differencing deleted, ``n_restored`` and ``n_removed`` those that the check changed.
 
 Defined results: a null html is an empty page with empty text; a null or odd url has no host and no neighbours; equal pages are
 neighbours, and where a page shares all its lines with its neighbour nothing is deleted (it would leave no text); an empty table gives
@@ -36,6 +37,7 @@ _BESIDE = frozenset(("ad ads adv advert advertisement advertising adverts alert
                      "replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget").split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+MADE = ("text", "n_chars", "n_shared", "n_restored", "n_removed")
 _GAP = re.compile(r"\s+")
 
 
@@ -52,9 +54,9 @@ def _beside(tag: str, rest: str, in_article: bool) -> bool:
     return False
 
 
-def lines_of(html: str | None) -> tuple[list[str], list[str]]:
-    """The page's lines inside article or main elements, and the other lines that are not marked as beside the article."""
-    found: tuple[list[str], list[str]] = ([], [])
+def lines_of(html: str | None) -> list[tuple[str, bool]]:
+    """The page's lines that are not marked as beside the article, in page order, each with whether it is inside an article or main element."""
+    found: list[tuple[str, bool]] = []
     text, open_, away, inside, at = [], [], 0, 0, 0
     html = html or ""
 
@@ -62,7 +64,7 @@ def lines_of(html: str | None) -> tuple[list[str], list[str]]:
         line = _GAP.sub(" ", entities.unescape("".join(text))).strip()
         text.clear()
         if line:
-            found[0 if inside else 1].append(line)
+            found.append((line, inside > 0))
 
     def close(n):
         nonlocal away, inside
@@ -125,19 +127,25 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(page, neighbour, markup: bool = True) -> str:
-    """The text of a page (its two lists of lines), beside its nearest neighbour or None."""
-    article, other = page
-    if markup and article:
-        return "\n".join(article)
-    lines = other if markup else article + other
-    gone = shared_lines(lines, neighbour[1] if markup else neighbour[0] + neighbour[1]) if neighbour else set()
-    return "\n".join(lines if len(gone) == len(lines) else [x for i, x in enumerate(lines) if i not in gone])
+def main_text(page: list[tuple[str, bool]], neighbour: list[tuple[str, bool]] | None, markup: bool = True) -> tuple[str, int, int, int]:
+    """The text of a page's lines beside its nearest neighbour or None, and how many lines differencing deleted, the check restored and removed."""
+    lines, marked = [x for x, _ in page], markup and any(inside for _, inside in page)
+    beside = [x for x, inside in neighbour or () if marked or not markup or not inside]
+    gone = shared_lines(lines, beside) if neighbour else set()
+    if len(gone) == len(lines):
+        gone = set()
+    kept = [i for i in range(len(lines)) if i not in gone]
+    if not marked:
+        return "\n".join(lines[i] for i in kept), len(gone), 0, 0
+    removed = sum(not page[i][1] for i in kept)
+    restored = [i for i in gone if page[i][1]]
+    text = sorted([i for i in kept if page[i][1]] + restored)
+    return "\n".join(lines[i] for i in text), len(gone), len(restored), removed
 
 
 def extract(pages: DataFrame, markup: bool = True, keep_html: bool = True) -> DataFrame:
-    """``pages`` plus text and n_chars. ``markup=False`` leaves all to differencing, to show what it does alone."""
-    carried = [c for c in pages.columns if c not in ("text", "n_chars")]
+    """``pages`` plus text, n_chars, n_shared, n_restored and n_removed. ``markup=False`` leaves all to differencing, to show what it does alone."""
+    carried = [c for c in pages.columns if c not in MADE]
     kept = [c for c in carried if keep_html or c != "html"]
     place = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", 1)
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)([^?#]*)", 2)
@@ -156,13 +164,13 @@ def extract(pages: DataFrame, markup: bool = True, keep_html: bool = True) -> Da
                 best = max(near, key=lambda x: len(os.path.commonprefix([x[1], path])), default=None)
                 texts.append(main_text(page, best and best[2], markup))
             last[:] = done[-1:]
-            return {"text": texts, "n_chars": [len(t) for t in texts]}
+            return {"text": [t[0] for t in texts], "n_chars": [len(t[0]) for t in texts], **{c: [t[i] for t in texts] for i, c in enumerate(MADE[2:], 1)}}
         return work
 
     # the page itself moves once and returns from Python only if it is wanted
-    out = added(rows, "text string, n_chars long", start, ["in_html", "_host", "_path"], ("_host", "_path", "_id", *[f"in_{c}" for c in carried if c not in kept]))
-    return out.select(*[F.col(f"in_{c}").alias(c) for c in kept], "text", "n_chars")
+    out = added(rows, "text string, n_chars long, n_shared long, n_restored long, n_removed long", start, ["in_html", "_host", "_path"], ("_host", "_path", "_id", *[f"in_{c}" for c in carried if c not in kept]))
+    return out.select(*[F.col(f"in_{c}").alias(c) for c in kept], *MADE)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
-    return extract(pages.select("page_id", "url", "html"), keep_html=False).select("page_id", "url", "text", "n_chars")
+    return extract(pages.select("page_id", "url", "html"), keep_html=False).select("page_id", "url", *MADE)

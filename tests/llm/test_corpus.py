@@ -241,6 +241,17 @@ def test_html(spark):
     assert html_extract.shared_lines(list("abcabd"), list("xbcad")) == {1, 2, 3, 5} and html_extract.shared_lines(["x"] * 3, ["x"] * 2) == {0, 1} and html_extract.extract(t.limit(0)).count() == 0
 
 
+def test_html_differences_marked_pages(spark):
+    """Pages that mark an article are differenced too; the marks restore and remove lines after that."""
+    site = "<p>Menu of all</p><article><p>{0}</p><p>shared words</p></article><p>{1}</p><p>End of all</p>"
+    rows = [(1, "http://h/a", site.format("first", "one")), (2, "http://h/b", site.format("second", "two")), (3, "http://z/", site.format("third", "three"))]
+    t = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: r for r in html_extract.page_texts(t).collect()}
+    assert [got[i]["text"] for i in (1, 2, 3)] == ["first\nshared words", "second\nshared words", "third\nshared words"]
+    assert got[3][-3:] == (0, 0, 3) and {got[i][-3:] for i in (1, 2)} <= {(3, 1, 1), (0, 0, 3)} and got[1][-3:] == got[2][-3:]
+    assert html_extract.main_text([("a", False), ("b", True), ("c", True), ("d", False)], [("a", False), ("b", True)]) == ("b\nc", 2, 1, 1)
+
+
 def test_lm(spark, docs, none):
     got = {(r["doc_id"], r["n_tokens"], round(r["base_score"], 6)): r for r in lm_score.lm_scores(docs, frequent=40).collect()}
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0
