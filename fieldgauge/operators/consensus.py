@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import jsonvals as J, text as T
 from ..schema import leaf_grid
-from .reshape import merge_scoped
 from .validate import assess_acceptance, validate_required, with_errors, with_leaf
 
 DF = ["document_id", "field_path"]
@@ -133,25 +132,50 @@ def _folded(staged: DataFrame, branches: int, quorum: int) -> DataFrame:
     return voted.select(*DF, F.size("_w").cast("long").alias("votes"), first["value_json"].alias("value_json"), first["confidence"].alias("confidence"), F.col("_w.branch").alias("voters"))
 
 
+def _merges(candidates: DataFrame, branches: int, current: DataFrame | None, conflict: str) -> DataFrame:
+    """(document_id, field_path, now, given, changes, value_json, error) for each field: its current value, whether it has one, how many
+    branches change it, and the fold of their changes in branch order.
+
+    The current value travels as one more row of its field, so that one exchange and one grouping meet all. Forms are worked out after the
+    grouping, in compiled code, and only where texts differ: equal texts have equal forms.
+    """
+    rows = _expected(candidates, branches).where(F.col("value_json").isNotNull()).select(*DF, F.col("branch").cast("int").alias("branch"), "value_json")
+    if current is not None:
+        rows = rows.unionByName(current.select(*DF, F.lit(-1).alias("branch"), "value_json"))
+    said = lambda b: F.max(F.when(F.col("branch") == b, F.col("value_json")))
+    wide = rows.repartition(*DF).groupBy(*DF).agg(*[said(b).alias(f"_s{b}") for b in range(branches)], said(-1).alias("now"), F.max(F.col("branch") == -1).alias("given"))
+    by, now = F.col("field_path"), F.col("now")
+    slots = [F.col(f"_s{b}") for b in range(branches)]
+    if current is not None:
+        differs = F.exists(F.array(*slots), lambda x: x != now)
+        wide = wide.withColumn("_c", J.apart(F.when(differs, J.canonical(now)), by))
+        wide = wide.withColumns({f"_s{b}": J.apart(F.when(s.isNull() | s.eqNullSafe(now), None).when(~J.canonical(s).eqNullSafe(F.col("_c")), s), by) for b, s in enumerate(slots)})
+    wide = wide.withColumn("_items", F.array_compact(F.array(*slots)))
+    last = F.coalesce(*reversed(slots), F.lit(None))
+    # a text that is no array, object or escaped string has a form, so equal ones agree; the others are folded by their forms
+    plain = ~F.substring(F.ltrim(last), 1, 1).isin("[", "{") & ~F.contains(last, F.lit("\\"))
+    agreed = (F.size("_items") < 2) | (plain & (F.size(F.array_distinct("_items")) == 1))
+    wide = wide.select(*DF, "now", "given", F.size("_items").alias("changes"), last.alias("_last"), agreed.alias("_agreed"), *slots)
+    form = lambda s: F.when(~F.col("_agreed") & s.isNotNull() & (J.kind(s) != "array"), T.collapse(J.text(s)))
+    wide = wide.withColumns({f"_t{b}": J.apart(form(s), by) for b, s in enumerate(slots)})
+    wide = wide.withColumns({f"_g{b}": J.apart(F.when(~F.col("_agreed") & s.isNotNull() & (J.kind(s) != "array"), J.vote_form(s, F.col(f"_t{b}"), F.lit(False))), by) for b, s in enumerate(slots)})
+    none = F.lit(None).cast("string")
+    items = F.filter(F.array(*[F.struct(s.alias("value_json"), F.col(f"_g{b}").alias("sig"), none.alias("error")) for b, s in enumerate(slots)]), lambda x: x["value_json"].isNotNull())
+    wide = wide.withColumn("_folds", F.when(~F.col("_agreed"), items))
+    clash = F.struct(F.lit("null").alias("value_json"), F.lit("null").alias("sig"), F.lit(conflict).alias("error"))
+    folded = F.aggregate(F.slice("_folds", F.lit(2), F.greatest(F.size("_folds") - 1, F.lit(0))), F.get("_folds", F.lit(0)),
+                         lambda a, x: F.when(F.coalesce(a["sig"] == x["sig"], F.lit(False)), x).otherwise(clash))
+    wide = wide.withColumn("_r", F.when(~F.col("_agreed"), folded))
+    return wide.select(*DF, "now", "given", "changes", F.when(F.col("_agreed"), F.col("_last")).otherwise(F.col("_r.value_json")).alias("value_json"), F.col("_r.error").alias("error"))
+
+
 def merge_changes(candidates: DataFrame, branches: int, current: DataFrame | None = None,
                   conflict: str = "Parallel branches conflict; use consensus or disjoint field scopes") -> DataFrame:
     """Fold the branches' changed fields in order: equal values keep the last, differing ones become null plus an error.
 
-    Fields equal to ``current`` are not changes. Two tables always conflict, having no row key here.
+    Fields equal to ``current`` (at most one row for each document and field) are not changes. Two tables always conflict, having no row key here.
     """
-    rows = _expected(candidates, branches).where(F.col("value_json").isNotNull())
-    if current is not None:
-        before = current.select(*DF, J.canonical(F.col("value_json")).alias("_before"))
-        rows = rows.join(before, DF, "left").where(~J.canonical(F.col("value_json")).eqNullSafe(F.col("_before")))
-    v = F.col("value_json")
-    sig = F.when(J.kind(v) != "array", J.vote_normalize(v, F.lit(False), F.lit(False)))
-    none = F.lit(None).cast("string")
-    item = F.struct(F.col("branch"), F.col("value_json"), sig.alias("sig"), none.alias("error"))
-    grouped = _by_branch(rows, branches, item, DF)
-    clash = lambda x: F.struct(x["branch"].alias("branch"), F.lit("null").alias("value_json"), F.lit("null").alias("sig"), F.lit(conflict).alias("error"))
-    folded = F.aggregate(F.slice("_items", F.lit(2), F.greatest(F.size("_items") - 1, F.lit(0))), F.get("_items", F.lit(0)),
-                         lambda a, x: F.when(F.coalesce(a["sig"] == x["sig"], F.lit(False)), x).otherwise(clash(x)))
-    return grouped.select(*DF, folded.alias("_r")).select(*DF, F.col("_r.value_json").alias("value_json"), F.col("_r.error").alias("error"))
+    return _merges(candidates, branches, current, conflict).where("changes > 0").select(*DF, "value_json", "error")
 
 
 def parallel_merge(candidates: DataFrame, branches: int, current: DataFrame | None = None) -> DataFrame:
@@ -159,9 +183,12 @@ def parallel_merge(candidates: DataFrame, branches: int, current: DataFrame | No
 
 
 def joined_route_merge(candidates: DataFrame, branches: int, current: DataFrame, leaves: DataFrame) -> DataFrame:
-    """Converging connections: merge the changes, then overlay them on the shared input."""
-    merged = merge_changes(candidates, branches, current, "Connected branches conflict; resolve them with a majority-vote block")
-    return merge_scoped(current, merged, leaves, ["document_id"])
+    """Converging connections: merge the changes, then overlay them on the shared input where its fields are the schema's."""
+    merged = _merges(candidates, branches, current, "Connected branches conflict; resolve them with a majority-vote block")
+    scope = leaves.select("field_path").distinct().withColumn("_scoped", F.lit(True))
+    over = F.col("_scoped").isNotNull() & (F.col("changes") > 0)
+    met = merged.join(F.broadcast(scope), "field_path", "left").where(F.col("given") | over)
+    return met.select(*DF, F.when(over, F.col("value_json")).otherwise(F.col("now")).alias("value_json"))
 
 
 def page_merge(pages: DataFrame, row_keys: dict[str, str] | None = None) -> DataFrame:

@@ -107,7 +107,7 @@ def _(v):
 @query("joined_route_merge", sql(f"""SELECT coalesce(c.document_id, m.document_id) AS document_id, coalesce(c.field_path, m.field_path) AS field_path, coalesce(m.value_json, c.value_json) AS value_json FROM pred0 c FULL JOIN (
  {fold_sql(f"SELECT s.* FROM sigs s LEFT JOIN pred0 p ON p.document_id = s.document_id AND p.field_path = s.field_path WHERE {canon('s.value_json')} IS DISTINCT FROM {canon('p.value_json')}")}) m ON c.document_id = m.document_id AND c.field_path = m.field_path""", "sigs", "pred0"))
 def _(v):
-    return C.joined_route_merge(candidates(v), 3, v.pred(0).select("document_id", "field_path", "value_json"), v.leaves)
+    return C.joined_route_merge(candidates(v), 3, v.raw(0).select("document_id", "field_path", "value_json"), v.leaves)
 
 
 def paged(v):
