@@ -233,6 +233,23 @@ def test_crowded_keys_keep_all_lines(spark):
     assert got == {(7, name, 0) for name in range(100)} | {(1, 200, 200), (1, 201, 200)}
 
 
+def test_common_words_make_no_pairs(spark, monkeypatch):
+    """Unlike lines that share common words only are not paired; the pairs of op5_line_repeats exceeded its disk (round 3)."""
+    import random
+    draw, counts = random.Random(3), {}
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    lines = ["of man " + " ".join(f"{w} {word()}" for w in ("the", "and", "to", "in", "for", "on", "with", "at", "by")) for _ in range(200)]
+    plain = line_dedup.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(line_dedup, "written", counted)
+    got = line_dedup.repeat_counts(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert got.where("n_dropped > 0").count() == 0 and counts["line-pairs"] < 20
+
+
 def _hash(spark, text):
     return spark.createDataFrame([(text,)], "t string").select(line_dedup.simhash(line_dedup.word_hashes(F.col("t")))).first()[0]
 
