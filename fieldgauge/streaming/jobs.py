@@ -1,7 +1,7 @@
 """Incremental and streaming jobs: arrivals, caching, resume, progress, exactly-once scoring."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.ranking import latest
 from ..operators.scoring import score_fields
@@ -75,35 +75,34 @@ def stream_ingest_dedup(arrivals: DataFrame, table: str, checkpoint: str):
     return first_arrivals(arrivals).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def landed_documents(predictions: DataFrame) -> DataFrame:
-    """(run_id, document_id, rows): all rows of a document so far. On a stream in update mode, the documents that the batch touches."""
-    rest = [F.col(c) for c in predictions.columns if c not in ("run_id", "document_id")]
-    row = F.struct(F.unix_micros(F.current_timestamp()).alias("landed"), *rest)
-    return predictions.withColumn("_row", row).groupBy("run_id", "document_id").agg(F.collect_set("_row").alias("rows"))
+def landed_fields(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, fields) of a batch of predictions: the runs' documents that it names, and of each field its largest row.
+
+    Fields are dealt out as the join with the truth wants them and sorted once for both.
+    """
+    key = ["document_id", "field_path", "run_id"]
+    dealt = batch.where("field_path IS NOT NULL").repartition(*key)
+    whole = dealt.groupBy(*key).agg(F.max(F.struct(*[c for c in batch.columns if c not in key])).alias("_r")).select(*key, "_r.*")
+    return batch.select("document_id", "run_id").distinct(), whole.select(*batch.columns)
 
 
 def incremental_scoring(predictions: DataFrame, truth: DataFrame, leaves: DataFrame, table: str, checkpoint: str,
                         config: ScoringConfig = ScoringConfig()):
-    """Score landing predictions; a document whose fields land in several batches is scored again, whole, each time.
+    """Score landing predictions, each field in the batch in which it lands.
 
-    The rows of a document are state keyed by run and document, so a batch reads and scores the documents that it touches and no others. A field that
-    lands again replaces the earlier one. A row with a null ``field_path`` says that a document was processed; with it, a document without any
-    prediction is scored too. ``current_scores`` reads each document's last scoring.
+    A batch reads and scores what it brings and no earlier rows. Of the documents that it names it also writes the fields that it does not bring, as
+    fields without a prediction (``landed`` is false): these count as long as no batch brings them. A field that lands again replaces the earlier one.
+    A row with a null ``field_path`` says that a document was processed; with it, a document without any prediction is scored too.
+    ``current_scores`` reads each field's last scoring.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # the state is read once; a lost executor's part is computed again from the state of the last batch
-        try:
-            fields = batch.select("run_id", "document_id", F.inline("rows")).where("field_path IS NOT NULL")
-            # the last landing of a field; of several in one batch the largest row
-            others = [c for c in fields.columns if c not in ("run_id", "document_id", "field_path")]
-            whole = fields.groupBy("run_id", "document_id", "field_path").agg(F.max(F.struct(*others)).alias("_r")).select("run_id", "document_id", "field_path", "_r.*").drop("landed")
-            _put(score_fields(truth, whole.select(*predictions.columns), leaves, config, batch.select("run_id", "document_id")), table, batch_id)
-        finally:
-            batch.unpersist()
-    return landed_documents(predictions).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        documents, fields = landed_fields(batch)
+        scored = score_fields(truth, fields.withColumn("_landed", F.lit(True)), leaves, config, documents)
+        _put(scored.withColumnRenamed("_landed", "landed"), table, batch_id)
+    return predictions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_scores(scored: DataFrame) -> DataFrame:
-    """Rows of each document's last scoring."""
-    last = scored.groupBy("run_id", "document_id").agg(F.max("batch").alias("batch"))
-    return scored.join(last, ["run_id", "document_id", "batch"], "left_semi").drop("batch")
+    """Each field's last landing, or else its last row without one."""
+    last = Window.partitionBy("document_id", "field_path", "run_id").orderBy(F.desc("landed"), F.desc("batch"))
+    return scored.withColumn("_last", F.rank().over(last)).where("_last = 1").drop("_last", "landed", "batch")
